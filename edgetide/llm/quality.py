@@ -155,6 +155,23 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(1 - excess(rank.score(positive), rank.score(unlabelled)), 0.02, 0.98))
 
 
+def centred(model: Model, positive: np.ndarray, unlabelled: np.ndarray, near: float = 0.002) -> Model:
+    """The model with its intercept moved so that 0.5 lies where the unlabelled exceed the positives most.
+
+    The correction of the risk keeps scores of negatives from falling all the way, so the ranking is better than the
+    place of 0.5. Where a range of scores does about equally well its middle is taken.
+    """
+    logit = lambda s: np.log(s) - np.log1p(-s)
+    zp, zu = (np.sort(logit(np.clip(model.score(x), 1e-12, 1 - 1e-12))) for x in (positive, unlabelled))
+    at = np.unique(np.concatenate([zp, zu]))
+    gain = np.searchsorted(zu, at, side="right") / len(zu) - np.searchsorted(zp, at, side="right") / len(zp)
+    if gain.max() <= near:
+        return model
+    good = np.flatnonzero(gain >= gain.max() - near)
+    high = at[min(good[-1] + 1, len(at) - 1)]
+    return Model(model.edges, model.weights, model.bias - float(at[good[0]] + high) / 2, model.prior)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = statistics(*textkit.view(batch.column("text")))
@@ -180,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     p, u = x[kind == 1], x[kind == 0]
     if prior is None:
         prior = estimate_prior(p, u) if len(p) and len(u) else 0.5
-    return fit(p, u, float(np.clip(prior, 0.02, 0.98)))
+    model = fit(p, u, float(np.clip(prior, 0.02, 0.98)))
+    return centred(model, p, u) if len(p) and len(u) else model
 
 
 def _score(shared):
