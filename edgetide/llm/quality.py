@@ -144,32 +144,39 @@ def excess(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float((below(unlabelled) - below(positive)).max())
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from both samples alone.
-
-    A first bound comes from single statistics; a classifier fitted with that prior ranks the texts, and its scores
-    give the final bound. A prior that is somewhat low costs less than one too high, and this one errs to the low side.
+def cross_fitted(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of either sample, each half scored by a model of the other half."""
+    out = []
+    halves = [(positive[k::2], unlabelled[k::2]) for k in (0, 1)]
+    models = [fit(p, u, prior) for p, u in halves]
+    for kind in (0, 1):
+        s = np.concatenate([models[1 - k].score(halves[k][kind]) for k in (0, 1)])
+        s = np.clip(s, 1e-12, 1 - 1e-12)
+        out.append(np.sort(np.log(s) - np.log1p(-s)))
+    return out[0], out[1]
+
+
+def calibrated(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None) -> Model:
+    """A fitted model with the prior estimated, unless given, and 0.5 put where the unlabelled exceed the positives most.
+
+    A first bound of the prior comes from single statistics; classifiers fitted with it score texts they have not seen,
+    and the excess over those scores gives the estimate. The correction of the risk keeps scores of negatives from
+    falling all the way, so the ranking is better than the place of 0.5; where a range of scores does about equally
+    well, its low end is taken.
     """
+    if min(len(positive), len(unlabelled)) < 4:
+        return fit(positive, unlabelled, 0.5 if prior is None else prior)
     first = max(max(excess(positive[:, c], unlabelled[:, c]), excess(-positive[:, c], -unlabelled[:, c])) for c in range(positive.shape[1]))
-    rank = fit(positive, unlabelled, float(np.clip(1 - first, 0.02, 0.98)))
-    return float(np.clip(1 - excess(rank.score(positive), rank.score(unlabelled)), 0.02, 0.98))
-
-
-def centred(model: Model, positive: np.ndarray, unlabelled: np.ndarray, near: float = 0.002) -> Model:
-    """The model with its intercept moved so that 0.5 lies where the unlabelled exceed the positives most.
-
-    The correction of the risk keeps scores of negatives from falling all the way, so the ranking is better than the
-    place of 0.5. Where a range of scores does about equally well its middle is taken.
-    """
-    logit = lambda s: np.log(s) - np.log1p(-s)
-    zp, zu = (np.sort(logit(np.clip(model.score(x), 1e-12, 1 - 1e-12))) for x in (positive, unlabelled))
+    zp, zu = cross_fitted(positive, unlabelled, float(np.clip(1 - first, 0.02, 0.98)) if prior is None else prior)
     at = np.unique(np.concatenate([zp, zu]))
     gain = np.searchsorted(zu, at, side="right") / len(zu) - np.searchsorted(zp, at, side="right") / len(zp)
+    model = fit(positive, unlabelled, float(np.clip(1 - gain.max(), 0.02, 0.98)) if prior is None else prior)
+    near = 0.1 / np.sqrt(min(len(zp), len(zu)))
     if gain.max() <= near:
         return model
-    good = np.flatnonzero(gain >= gain.max() - near)
-    high = at[min(good[-1] + 1, len(at) - 1)]
-    return Model(model.edges, model.weights, model.bias - float(at[good[0]] + high) / 2, model.prior)
+    k = int(np.flatnonzero(gain >= gain.max() - near)[0])
+    cut = float(at[k] + at[min(k + 1, len(at) - 1)]) / 2
+    return Model(model.edges, model.weights, model.bias - cut, model.prior)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,10 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(len(rows), len(STATISTICS))
     kind = np.array([r["kind"] for r in rows])
     p, u = x[kind == 1], x[kind == 0]
-    if prior is None:
-        prior = estimate_prior(p, u) if len(p) and len(u) else 0.5
-    model = fit(p, u, float(np.clip(prior, 0.02, 0.98)))
-    return centred(model, p, u) if len(p) and len(u) else model
+    return calibrated(p, u, prior)
 
 
 def _score(shared):
