@@ -13,6 +13,8 @@ runs on the executors.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from edgetide.llm.runtime import lookup, prepare, stage
 #: Lines of fewer characters, after trimming, are left alone: headings, salutations and the like repeat by nature.
 LEAST = 40
 EDITS = 2
+#: One line in so many is looked at for keys that many lines share.
+CROWD_SAMPLE = 8
 
 
 def text_key() -> Column:
@@ -45,41 +49,71 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "line_no")
 
 
-def segment(length: Column, count: int, k: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of the k-th of ``count`` segments of a line, the longer ones last."""
-    short = F.floor(length / count).cast("int")
-    longer = (length - short * count).cast("int")
-    shift = F.greatest(F.lit(0), F.lit(k) - (F.lit(count) - longer))
-    return short * k + shift, short + (F.lit(k) >= F.lit(count) - longer).cast("int")
+def segment(length: Column, count: int, k: int) -> Column:
+    """Start (from 0) of the k-th of ``count`` segments of a line; k = count gives its end."""
+    return segment_at(length, count, F.lit(k))
+
+
+def segment_at(length: Column, count: int, k: Column) -> Column:
+    return F.call_function("div", length * k, F.lit(count)).cast("int")
+
 
+def part(start: Column, end: Column) -> Column:
+    return F.substring("line", start + 1, end - start)
 
-def key_of(length: Column, k: int, text: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(k), text)
+
+def shifts(edits: int, d: int, steps: int, at: int = 0, spent: int = 0) -> list[tuple[int, ...]]:
+    """How far text between ``steps`` edited places can be moved when all of it costs ``edits`` and the end is moved by d."""
+    if not steps:
+        return [()] if at == d else []
+    out = []
+    for to in range(at - edits + spent, at + edits - spent + 1):
+        out += [(to, *rest) for rest in shifts(edits, d, steps - 1, to, spent + abs(to - at))]
+    return out
 
 
 def index_keys(edits: int) -> Column:
-    n = F.col("n")
-    keys = []
-    for k in range(edits + 1):
-        at, size = segment(n, edits + 1, k)
-        keys.append(key_of(n, k, F.substring("line", at + 1, size)))
-    return F.array(*keys)
+    """Under one key for each segment: length, segment number, its text."""
+    n, count = F.col("n"), edits + 1
+    return F.array(*[F.xxhash64("n", F.lit(k), part(segment(n, count, k), segment(n, count, k + 1))) for k in range(count)])
 
 
 def probe_keys(edits: int) -> Column:
     """Substrings that segment k of a line shorter by d can be: the shift lies within k edits to its left and, seen from
     the other end, within ``edits`` - k to its right."""
-    keys = []
+    keys, count = [], edits + 1
     for d in range(edits + 1):
-        length = F.col("n") - d
-        for k in range(edits + 1):
-            at, size = segment(length, edits + 1, k)
-            for shift in range(-edits, edits + 1):
-                if abs(shift) <= k and abs(shift - d) <= edits - k:
-                    keys.append(key_of(length, k, F.substring("line", at + 1 + shift, size)))
+        n = F.col("n") - d
+        for k in range(count):
+            keys += [F.xxhash64(n, F.lit(k), part(segment(n, count, k) + s, segment(n, count, k + 1) + s)) for s in range(-edits, edits + 1) if abs(s) <= k and abs(s - d) <= edits - k]
     return F.array(*keys)
 
 
+def fine_keys(edits: int, segments: int, probe: bool) -> Column:
+    """Structs (key, free, own): keys of all but ``edits`` of ``segments`` segments, which is what edits within those few
+    leave alone; the numbers of those free segments, and hashes of what the line has there.
+
+    What lies between two free segments of the shorter line is moved in the longer one as ``shifts`` allows. The cases
+    are a constant array that one expression runs over: as many expressions would be too much code.
+    """
+    cases = []
+    for d in range(edits + 1) if probe else (0,):
+        for free in combinations(range(segments), edits):
+            for moved in shifts(edits, d, edits) if probe else [(0,) * edits]:
+                cases.append(f"named_struct('d', {d}, 'free', array({', '.join(map(str, free))}), 'moved', array({', '.join(map(str, (0, *moved)))}))")
+
+    def key(x: Column) -> Column:
+        n = F.col("n") - x["d"]
+        at = lambda k: segment_at(n, segments, k)
+        moved = [F.get(x["moved"], i) for i in range(edits + 1)]
+        starts = [F.lit(0)] + [at(F.get(x["free"], i) + 1) + moved[i + 1] for i in range(edits)]
+        ends = [at(F.get(x["free"], i)) + moved[i] for i in range(edits)] + [F.col("n")]
+        own = F.array(*[F.xxhash64(part(at(F.get(x["free"], i)) + moved[i], at(F.get(x["free"], i) + 1) + moved[i])) for i in range(edits)])
+        return F.struct(F.xxhash64(n, x["free"], *[part(a, b) for a, b in zip(starts, ends)]).alias("key"), x["free"].alias("free"), own.alias("own"))
+
+    return F.transform(F.expr(f"array({', '.join(cases)})"), key)
+
+
 def common_prefix(left: Column, right: Column, powers: int = 20) -> Column:
     """Length of the common prefix, by halving; lines of up to 2**powers characters."""
 
@@ -100,66 +134,116 @@ def edit_distance_within(left: Column, right: Column, edits: int) -> Column:
     """
     c, width = edits, 2 * edits + 1
     full, one = F.lit((1 << width) - 1).cast("long"), F.lit(1).cast("long")
-    m, n = F.length(left), F.length(right)
-    a, b = F.split(left, ""), F.split(right, "")
 
     def bit(x: Column, at: Column) -> Column:
         return F.call_function("shiftright", x, at).bitwiseAND(one) == 1
 
-    def step(s: Column, j: Column) -> Column:
-        ch = F.get(b, j - 1)
-        eq = F.lit(0).cast("long")
-        for i in range(width):
-            eq = eq.bitwiseOR(F.when(F.get(a, j - (c + 1 - i)) == ch, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-        later = F.transform(F.array(eq), lambda e: advance(s, j, e))
-        return F.when(s["score"] > 2 * c + n - m, s).otherwise(F.get(later, 0))
-
-    def advance(s: Column, j: Column, eq: Column) -> Column:
-        vp, vn = s["vp"], s["vn"]
-        d0 = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn)
-        return F.get(F.transform(F.array(d0), lambda d: slide(s, j, d)), 0)
-
-    def slide(s: Column, j: Column, d0: Column) -> Column:
-        vp, vn = s["vp"], s["vn"]
-        hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(full)
-        hn = d0.bitwiseAND(vp)
-        past = j + c - m
-        down = F.when(bit(d0, F.lit(width - 1)), 0).otherwise(1)
-        at = (F.lit(width - 1) - past).cast("int")
-        along = F.when(bit(hp, at), 1).when(bit(hn, at), -1).otherwise(0)
-        moved = F.shiftrightunsigned(d0.bitwiseAND(full), 1)
-        return F.struct(
-            hn.bitwiseOR(F.bitwise_not(moved.bitwiseOR(hp)).bitwiseAND(full)).alias("vp"),
-            moved.bitwiseAND(hp).alias("vn"),
-            (s["score"] + F.when(past <= 0, down).otherwise(along)).cast("int").alias("score"),
-        )
-
-    start = F.struct(F.lit((1 << width) - (1 << c)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(c).cast("int").alias("score"))
-    distance = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["score"])
-    return F.when(F.abs(m - n) > edits, False).otherwise(distance <= edits)
-
-
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """lines (h1, h2, n, line) to pairs of hashes (h1, h2) < (g1, g2) whose lines may be within ``edits``."""
-    index = lines.select("h1", "h2", F.explode(index_keys(edits)).alias("key"))
-    probe = lines.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.explode(probe_keys(edits)).alias("key"))
-    pairs = index.join(probe, "key").where((F.col("h1") != F.col("g1")) | (F.col("h2") != F.col("g2")))
-    swap = (F.col("h1") > F.col("g1")) | ((F.col("h1") == F.col("g1")) & (F.col("h2") > F.col("g2")))
-    turned = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("h1", "g1"), ("h2", "g2"), ("g1", "h1"), ("g2", "h2"))]
-    return pairs.select(*turned).distinct()
-
-
-def links(lines: DataFrame, edits: int) -> DataFrame:
-    """lines (h1, h2, n, line), all different, to the pairs (h1, h2, g1, g2) within ``edits``."""
-    pairs = stage(candidates(lines, edits), "line-pairs")
-    ends = pairs.select("h1", "h2").unionByName(pairs.select(F.col("g1").alias("h1"), F.col("g2").alias("h2"))).distinct()
-    texts = stage(lines.select("h1", "h2", "line").join(lookup(stage(ends, "line-ends")), ["h1", "h2"]), "line-texts")
-    both = pairs.join(texts.withColumnRenamed("line", "left"), ["h1", "h2"]).join(texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("right")), ["g1", "g2"])
-    # what both begin with does not count; edits + 1 characters stay, as the band needs
-    begin = F.least(common_prefix(F.col("left"), F.col("right")), F.least(F.length("left"), F.length("right")) - (edits + 1))
-    cut = both.select("h1", "h2", "g1", "g2", "left", "right", begin.alias("p"))
-    cut = cut.select("h1", "h2", "g1", "g2", F.expr("substring(left, p + 1)").alias("left"), F.expr("substring(right, p + 1)").alias("right"))
-    return cut.where(edit_distance_within(F.col("left"), F.col("right"), edits)).select("h1", "h2", "g1", "g2")
+    def distance(pair: Column) -> Column:
+        a, b, m, n = pair["a"], pair["b"], F.size(pair["a"]), F.size(pair["b"])
+
+        def step(s: Column, j: Column) -> Column:
+            ch = F.get(b, j - 1)
+            eq = F.lit(0).cast("long")
+            for i in range(width):
+                eq = eq.bitwiseOR(F.when(F.get(a, j - (c + 1 - i)) == ch, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+            return F.when(s["score"] > 2 * c + n - m, s).otherwise(bound(eq, lambda e: advance(s, j, e)))
+
+        def advance(s: Column, j: Column, eq: Column) -> Column:
+            vp, vn = s["vp"], s["vn"]
+            d0 = (eq.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn)
+            return bound(d0, lambda d: slide(s, j, d))
+
+        def slide(s: Column, j: Column, d0: Column) -> Column:
+            vp, vn = s["vp"], s["vn"]
+            hp = vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))).bitwiseAND(full)
+            hn = d0.bitwiseAND(vp)
+            past = j + c - m
+            down = F.when(bit(d0, F.lit(width - 1)), 0).otherwise(1)
+            at = (F.lit(width - 1) - past).cast("int")
+            along = F.when(bit(hp, at), 1).when(bit(hn, at), -1).otherwise(0)
+            moved = F.shiftrightunsigned(d0.bitwiseAND(full), 1)
+            return F.struct(
+                hn.bitwiseOR(F.bitwise_not(moved.bitwiseOR(hp)).bitwiseAND(full)).alias("vp"),
+                moved.bitwiseAND(hp).alias("vn"),
+                (s["score"] + F.when(past <= 0, down).otherwise(along)).cast("int").alias("score"),
+            )
+
+        start = F.struct(F.lit((1 << width) - (1 << c)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(c).cast("int").alias("score"))
+        upto = lambda last: F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["score"])
+        # most pairs that fail do so in the first columns
+        hopeless = upto(F.least(n, F.lit(8 * width // 2))) > 2 * c + n - m
+        return F.when(F.abs(m - n) > c, False).when(hopeless, False).otherwise(upto(n) <= c)
+
+    return bound(F.struct(F.split(left, "").alias("a"), F.split(right, "").alias("b")), distance)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with ``value`` worked out once a row: an expression named in a lambda is else repeated in it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def crowded(lines: DataFrame, edits: int) -> DataFrame:
+    """(key) of index keys that many lines share, found on one line in CROWD_SAMPLE: what it misses is small."""
+    some = lines.where(F.pmod("h1", F.lit(CROWD_SAMPLE)) == 0).select(F.explode(index_keys(edits)).alias("key"))
+    return stage(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key"), "line-crowds")
+
+
+def verified(left: str, right: str, edits: int) -> Column:
+    """Are the lines in two columns within ``edits`` of each other?
+
+    What both begin with does not count; edits + 1 characters stay, as the band needs.
+    """
+    shared = F.least(common_prefix(F.col(left), F.col(right)), F.least(F.length(left), F.length(right)) - (edits + 1))
+    tail = lambda x, p: F.substring(F.col(x), p + 1, F.length(x))
+    return bound(shared, lambda p: edit_distance_within(tail(left, p), tail(right, p), edits))
+
+
+def meetings(lines: DataFrame, edits: int) -> DataFrame:
+    """lines (h1, n, line) to (h1, g1) that share a segment, and (null, g1) for lines that meet a crowded key.
+
+    Keys that many lines share are left out of the index; only a mark stays in their place.
+    """
+    crowds = lookup(crowded(lines, edits))
+    index = lines.select("h1", F.explode(index_keys(edits)).alias("key")).join(crowds, "key", "left_anti")
+    index = index.unionByName(crowds.select(F.lit(None).cast("long").alias("h1"), "key"))
+    probe = lines.select(F.col("h1").alias("g1"), F.explode(probe_keys(edits)).alias("key"))
+    other = F.col("h1").isNull() | (F.col("h1") != F.col("g1"))
+    return stage(index.join(probe, "key").where(other).select("h1", "g1").distinct(), "line-meetings")
+
+
+def links_in_crowds(lines: DataFrame, edits: int, segments: int) -> DataFrame:
+    """lines (h1, h2, n, line) to the pairs (h1, h2, g1, g2) within ``edits``, by keys of all but ``edits`` of ``segments``
+    segments. Variants of one text, which share a third of it, meet only if they agree but for small parts; they are
+    verified where they meet, so no pair that fails leaves the join."""
+
+    def keyed(probe: bool) -> DataFrame:
+        rows = lines.select(*[F.col(c).alias(c.replace("h", "g") if probe else c) for c in ("h1", "h2")], F.col("line").alias("right" if probe else "left"), F.explode(fine_keys(edits, segments, probe)).alias("k"))
+        names = {"key": "key"} | ({"own": "right_own"} if probe else {"own": "left_own", "free": "free"})
+        return rows.select(*[c for c in rows.columns if c != "k"], *[F.col(f"k.{c}").alias(name) for c, name in names.items()])
+
+    # lines that differ in fewer segments than are free meet under many keys: only that counts whose unchanged free
+    # segments are the lowest numbers left
+    changed = F.zip_with("left_own", "right_own", lambda a, b: a != b)
+    lowest = F.zip_with(F.zip_with(changed, "free", lambda c, f: F.when(c, -1).otherwise(f)), F.sequence(F.lit(0), F.lit(edits - 1)), lambda f, r: (f == -1) | (f == r))
+    once = F.forall(lowest, lambda x: x) | F.forall(changed, lambda c: ~c)
+    left, right = keyed(False).alias("l"), keyed(True).alias("r")
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("h1") != F.col("g1")) & once & verified("left", "right", edits))
+    swap = F.col("h1") > F.col("g1")
+    return met.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("h1", "g1"), ("h2", "g2"), ("g1", "h1"), ("g2", "h2"))])
+
+
+def links(lines: DataFrame, edits: int, segments: int = 4) -> DataFrame:
+    """lines (h1, h2, n, line), all different, to the pairs (h1, h2, g1, g2) within ``edits``, each once."""
+    met = meetings(lines.select("h1", "n", "line"), edits)
+    pairs = met.where("h1 is not null").select(F.least("h1", "g1").alias("h1"), F.greatest("h1", "g1").alias("g1")).distinct()
+    crowd = met.where("h1 is null").select(F.col("g1").alias("h1"), F.lit(True).alias("crowded"))
+    # the few lines that have something to compare, with their texts
+    ends = pairs.select("h1").unionByName(pairs.select(F.col("g1").alias("h1"))).withColumn("crowded", F.lit(False)).unionByName(crowd)
+    ends = stage(ends.groupBy("h1").agg(F.max("crowded").alias("crowded")), "line-ends")
+    texts = stage(lines.join(lookup(ends), "h1"), "line-texts")
+    both = pairs.join(texts.select("h1", "h2", F.col("line").alias("left")), "h1").join(texts.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("line").alias("right")), "g1")
+    found = both.where(verified("left", "right", edits)).select("h1", "h2", "g1", "g2")
+    return found.unionByName(links_in_crowds(texts.where("crowded"), edits, segments)).distinct()
 
 
 def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
