@@ -1,4 +1,472 @@
-"""Queries by name, and the SQL that each must agree with."""
+"""Queries by name, and the SQL that each must agree with. Every computed column has the same name in both."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgetide.functions import truth
+from edgetide.operators import distribution, extended, graph, probability, timing, waveform
+from edgetide.plans import inputs
+from edgetide.plans.inputs import EDGES, SIGNALS, table
+from edgetide.sources import blif, sdf
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# --- timing -------------------------------------------------------------------------------------------------
+
+PATHS = f"""WITH RECURSIVE e AS ({EDGES}),
+p(node, root, level, t) AS (SELECT DISTINCT src, src, 0, 0::BIGINT FROM e WHERE src NOT IN (SELECT dst FROM e)
+  UNION ALL SELECT e.dst, p.root, p.level + 1, p.t + e.delay FROM p JOIN e ON e.src = p.node)"""
+BACK = f"""{PATHS}, a AS (SELECT node, max(t) AS late, min(t) AS early FROM p GROUP BY node),
+ends AS (SELECT DISTINCT dst AS node FROM e WHERE dst NOT IN (SELECT src FROM e)),
+b(node, r) AS (SELECT node, {{end}} FROM ends UNION ALL SELECT e.src, b.r - e.delay FROM b JOIN e ON e.dst = b.node)"""
+
+
+def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = inputs.edges(spark, sf_dir)
+    return e, graph.levelize(e)
+
+
+@query(f"{PATHS} SELECT node, max(t) AS arrival FROM p GROUP BY node")
+def sta_arrival(spark, sf_dir):
+    return timing.arrival(*network(spark, sf_dir))
+
+
+@query(f"{PATHS} SELECT node, min(t) AS arrival FROM p GROUP BY node")
+def hold_arrival(spark, sf_dir):
+    return timing.arrival(*network(spark, sf_dir), hold=True)
+
+
+def _required(spark, sf_dir, constraint=250, hold=False):
+    e, levels = network(spark, sf_dir)
+    a = timing.arrival(e, levels)
+    return timing.required(e, levels, timing.end_constraints(e, a, constraint), hold), a
+
+
+@query(BACK.format(end="250::BIGINT") + " SELECT node, min(r) AS required FROM b GROUP BY node")
+def sta_required(spark, sf_dir):
+    return _required(spark, sf_dir)[0]
+
+
+@query(BACK.format(end="(SELECT late FROM a WHERE a.node = ends.node)") + " SELECT node, min(r) AS required FROM b GROUP BY node")
+def sta_required_relaxed(spark, sf_dir):
+    return _required(spark, sf_dir, -1)[0]
+
+
+@query(BACK.format(end="0::BIGINT") + " SELECT node, max(r) AS required FROM b GROUP BY node")
+def hold_required(spark, sf_dir):
+    return _required(spark, sf_dir, 0, True)[0]
+
+
+@query(BACK.format(end="250::BIGINT") + " SELECT a.node, a.late AS arrival, r.required, r.required - a.late AS slack FROM a JOIN (SELECT node, min(r) AS required FROM b GROUP BY node) r ON r.node = a.node")
+def sta_slack(spark, sf_dir):
+    r, a = _required(spark, sf_dir)
+    return a.join(r, "node").select("node", "arrival", "required", (F.col("required") - F.col("arrival")).alias("slack"))
+
+
+@query(f"{PATHS} SELECT max(t) AS cpd FROM p")
+def sta_cpd(spark, sf_dir):
+    return timing.critical_path_delay(timing.arrival(*network(spark, sf_dir)))
+
+
+@query(f"{PATHS}, m AS (SELECT node, max(t) AS arrival FROM p GROUP BY node) SELECT m.node, m.arrival, min(p.root) AS launch FROM m JOIN p ON p.node = m.node AND p.t = m.arrival GROUP BY m.node, m.arrival")
+def sta_launch_node(spark, sf_dir):
+    return timing.launched_arrival(*network(spark, sf_dir))
+
+
+@query(f"{PATHS} SELECT node, root AS domain, max(t) AS arrival FROM p WHERE root IN ('R0','R1','R2') GROUP BY node, root")
+def multi_domain_arrival(spark, sf_dir):
+    e, levels = network(spark, sf_dir)
+    seeds = timing.sources(e).select("node", F.col("node").alias("domain"), F.lit(0).cast("long").alias("arrival"))
+    pairs = spark.createDataFrame([("R0",), ("R1",), ("R2",)], "domain string")
+    return timing.domain_arrival(e, levels, seeds, pairs)
+
+
+@query(f"{PATHS} SELECT node, max(t) AS computed, max(t) + 1 AS expected FROM p WHERE node LIKE 'N%' GROUP BY node")
+def sta_verify(spark, sf_dir):
+    a = timing.arrival(*network(spark, sf_dir))
+    return timing.check(a, a.withColumn("arrival", F.col("arrival") + F.col("node").startswith("N").cast("long")))
+
+
+# --- graph --------------------------------------------------------------------------------------------------
+
+
+@query(f"{PATHS} SELECT node, max(level) AS level FROM p GROUP BY node")
+def levelize(spark, sf_dir):
+    return network(spark, sf_dir)[1]
+
+
+@query(f"{PATHS} SELECT level, count(*) AS nodes FROM (SELECT node, max(level) AS level FROM p GROUP BY node) GROUP BY level")
+def level_width_hist(spark, sf_dir):
+    return network(spark, sf_dir)[1].groupBy("level").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query(f"WITH e AS ({EDGES}) SELECT degree, count(*) AS nodes FROM (SELECT count(*) AS degree FROM e GROUP BY dst) GROUP BY degree")
+def fanin_hist(spark, sf_dir):
+    return graph.degree_histogram(inputs.edges(spark, sf_dir), "dst")
+
+
+@query(f"WITH e AS ({EDGES}) SELECT degree, count(*) AS nodes FROM (SELECT count(*) AS degree FROM e GROUP BY src) GROUP BY degree")
+def fanout_hist(spark, sf_dir):
+    return graph.degree_histogram(inputs.edges(spark, sf_dir), "src")
+
+
+@query("""WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier)
+SELECT (i // ((n + 9) // 10))::INTEGER AS bucket, avg(s_suppkey) AS mean, count(*) AS n FROM s GROUP BY 1""")
+def bucket_hist(spark, sf_dir):
+    return graph.bucket_histogram(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 10)
+
+
+@query(f"""WITH e AS ({EDGES}) SELECT left(src, 1) || left(dst, 1) AS edge_type, count(*) AS edges, sum(delay)::BIGINT AS delay FROM e GROUP BY 1""")
+def edge_types(spark, sf_dir):
+    kind = F.concat(F.substring("src", 1, 1), F.substring("dst", 1, 1)).alias("edge_type")
+    return inputs.edges(spark, sf_dir).groupBy(kind).agg(F.count(F.lit(1)).alias("edges"), F.sum("delay").alias("delay"))
+
+
+@query(f"{PATHS}, l AS (SELECT node, max(level) AS level FROM p GROUP BY node) SELECT node, level, row_number() OVER (ORDER BY level, node) - 1 AS new_id FROM l")
+def node_relayout(spark, sf_dir):
+    return graph.relayout(network(spark, sf_dir)[1])
+
+
+@query(f"WITH e AS ({EDGES}) SELECT 'source with fan-in' AS rule, 0::BIGINT AS broken UNION ALL SELECT 'sink with fan-out', 0 UNION ALL SELECT 'loop', count(*) FROM e WHERE src = dst")
+def graph_verify(spark, sf_dir):
+    return graph.verify(inputs.edges(spark, sf_dir), F.col("node").rlike("^[RP]"), F.col("node").startswith("L"))
+
+
+@query(f"{PATHS} SELECT DISTINCT root, node FROM p WHERE root = 'R0'")
+def clock_fanout(spark, sf_dir):
+    start = spark.createDataFrame([("R0", "R0")], "root string, node string")
+    return graph.reach(inputs.edges(spark, sf_dir), start)
+
+
+@query(f"""WITH RECURSIVE e AS ({EDGES}), f(root, node) AS (SELECT dst, dst FROM e WHERE dst LIKE 'O%' UNION SELECT f.root, e.src FROM f JOIN e ON e.dst = f.node),
+c AS (SELECT root, count(*) AS n_nodes, count(*) FILTER (WHERE node NOT IN (SELECT dst FROM e)) AS n_sources FROM f GROUP BY root)
+SELECT n_nodes, n_sources, count(*) AS roots FROM c GROUP BY ALL""")
+def transitive_fanin(spark, sf_dir):
+    e = inputs.edges(spark, sf_dir)
+    start = e.where("dst like 'O%'").select(F.col("dst").alias("root"), F.col("dst").alias("node"))
+    back = graph.reach(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), start)
+    marked = back.join(timing.sources(e).withColumn("source", F.lit(1)), "node", "left")
+    return marked.groupBy("root").agg(F.count(F.lit(1)).alias("n_nodes"), F.count("source").alias("n_sources")).groupBy("n_nodes", "n_sources").agg(F.count(F.lit(1)).alias("roots"))
+
+
+@query(f"{PATHS} SELECT node, string_agg(DISTINCT root, ',' ORDER BY root) AS support FROM p GROUP BY node")
+def support_sets(spark, sf_dir):
+    e, levels = network(spark, sf_dir)
+    seeds = timing.sources(e).select("node", F.array("node").alias("support"))
+    merge = [F.array_distinct(F.flatten(F.collect_list("support"))).alias("support")]
+    s = graph.fold(e, levels, seeds, [], {"support": F.col("support")}, merge)
+    return s.select("node", F.array_join(F.array_sort("support"), ",").alias("support"))
+
+
+@query(f"{PATHS} SELECT node, count(*) AS paths FROM p GROUP BY node")
+def path_counts(spark, sf_dir):
+    e, levels = network(spark, sf_dir)
+    return graph.fold(e, levels, timing.sources(e).withColumn("paths", F.lit(1).cast("long")), [], {"paths": F.col("paths")}, [F.sum("paths").alias("paths")])
+
+
+@query(f"""{PATHS}, l AS (SELECT node, max(level) AS level, count(DISTINCT root) AS tags FROM p GROUP BY node) SELECT level, sum(tags)::BIGINT AS total, min(tags) AS least, max(tags) AS most FROM l GROUP BY level""")
+def level_tag_stats(spark, sf_dir):
+    e, levels = network(spark, sf_dir)
+    seeds = timing.sources(e).select("node", F.col("node").alias("domain"), F.lit(0).cast("long").alias("arrival"))
+    tags = timing.domain_arrival(e, levels, seeds).groupBy("node").agg(F.count(F.lit(1)).alias("tags"))
+    return tags.join(levels, "node").groupBy("level").agg(F.sum("tags").alias("total"), F.min("tags").alias("least"), F.max("tags").alias("most"))
+
+
+# --- logic and extended timing --------------------------------------------------------------------------------
+
+
+def golden(rows: list[tuple[int, int]], b: str = "n") -> str:
+    return "SELECT delay::BIGINT AS delay, " + b + "::BIGINT AS " + b + " FROM (VALUES " + ", ".join(f"({a}, {n})" for a, n in rows) + f") v(delay, {b})"
+
+
+ADDER1 = ".model m\n.inputs a b c\n.outputs s co\n.names a b c s\n100 1\n010 1\n001 1\n111 1\n.names a b c co\n11- 1\n1-1 1\n-11 1\n110 1\n.end\n"
+
+
+@query("SELECT i::INTEGER AS assignment, CASE WHEN i IN (1, 2, 4, 7) THEN 1 ELSE 0 END AS value FROM range(8) t(i)")
+def truth_table_onset(spark, sf_dir):
+    tt = truth.cover_table([("100", "1"), ("010", "1"), ("001", "1"), ("111", "1")])
+    return spark.range(8).select(F.col("id").cast("int").alias("assignment"), truth.value_at(F.lit(tt).cast("long"), F.col("id")).alias("value"))
+
+
+@query("SELECT i::INTEGER AS assignment, CASE WHEN i % 2 = 0 AND i < 4 THEN 0 ELSE 1 END AS value FROM range(8) t(i)")
+def truth_table_offset(spark, sf_dir):
+    tt = truth.cover_table([("0-0", "0")])
+    return spark.range(8).select(F.col("id").cast("int").alias("assignment"), truth.value_at(F.lit(tt).cast("long"), F.col("id")).alias("value"))
+
+
+@query("SELECT p::INTEGER AS pin, v::INTEGER AS value, CASE WHEN v = 0 THEN 0 ELSE CASE p WHEN 0 THEN 12 ELSE 10 END END::BIGINT AS cofactor FROM range(2) a(p), range(2) b(v)")
+def cofactor(spark, sf_dir):
+    r = spark.range(4).select(F.shiftright("id", 1).cast("int").alias("pin"), F.col("id").bitwiseAND(F.lit(1)).cast("int").alias("value"))
+    return r.select("pin", "value", truth.cofactor_at(F.lit(8).cast("long"), F.col("pin"), F.col("value")).bitwiseAND(F.lit(15)).cast("long").alias("cofactor"))
+
+
+@query("""WITH t(x, b, a) AS (VALUES ('R', 0, 1), ('F', 1, 0), ('H', 1, 1), ('L', 0, 0))
+SELECT p.x AS a, q.x AS b, (SELECT x FROM t WHERE t.b = (p.b & q.b) AND t.a = (p.a & q.a)) AS out FROM t p, t q""")
+def two_vector_eval(spark, sf_dir):
+    a = extended.assignments(spark, ("a", "b"))
+    now, before = (lambda c: c.isin("R", "H").cast("int")), (lambda c: c.isin("F", "H").cast("int"))
+    both = lambda f: f(F.col("a")).bitwiseAND(f(F.col("b")))
+    return a.select("a", "b", truth.transition(both(before), both(now)).alias("out"))
+
+
+@query(golden([(0, 8), (20, 2), (25, 2), (30, 4)]))
+def esta_and2(spark, sf_dir):
+    return extended.histogram(extended.simulate(spark, inputs.AND2), "c")
+
+
+@query(golden([(0, 38), (30, 10), (35, 4), (40, 4), (45, 8)]))
+def esta_and3(spark, sf_dir):
+    return extended.histogram(extended.simulate(spark, inputs.AND3), "d")
+
+
+@query(golden([(0, 8), (35, 24), (40, 32)]))
+def esta_adder1(spark, sf_dir):
+    return extended.histogram(extended.simulate(spark, blif.circuit(ADDER1)), "s")
+
+
+@query(golden([(0, 8), (35, 24), (40, 32)]))
+def max_delay_hist(spark, sf_dir):
+    return extended.histogram(extended.simulate(spark, blif.circuit(ADDER1)))
+
+
+@query(golden([(0, 8), (35, 24), (40, 32)]))
+def max_delay_covered(spark, sf_dir):
+    rows = extended.simulate(spark, blif.circuit(ADDER1))
+    long = rows.select("vec", F.explode(F.array(F.col("`out:s`")["arr"], F.col("`out:co`")["arr"])).alias("delay"))
+    return probability.max_by_exclusion(long)
+
+
+def tags(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_linestatus", F.when(F.col("l_returnflag") == "A", "R").when(F.col("l_returnflag") == "N", "F").otherwise("H").alias("trans"), F.floor("l_extendedprice").cast("long").alias("arr"))
+
+
+TAGS = "WITH t AS (SELECT l_linestatus, CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'N' THEN 'F' ELSE 'H' END AS trans, floor(l_extendedprice)::BIGINT AS arr FROM lineitem)"
+
+
+@query(f"{TAGS} SELECT l_linestatus, trans, arr, count(*) AS n FROM t GROUP BY ALL")
+def tag_merge(spark, sf_dir):
+    return extended.merge_tags(tags(spark, sf_dir), ["l_linestatus"])
+
+
+@query(f"{TAGS} SELECT l_linestatus, trans, max(arr) AS arr, count(*) AS n FROM t GROUP BY l_linestatus, trans, arr // 1000")
+def esta_binned(spark, sf_dir):
+    return extended.merge_tags(tags(spark, sf_dir), ["l_linestatus"], coarse=1000, fine=1000)
+
+
+@query(f"{TAGS} SELECT l_linestatus, trans, max(arr) AS arr, count(*) AS n FROM t GROUP BY l_linestatus, trans, arr > 40000, CASE WHEN arr > 40000 THEN arr // 100 ELSE arr // 5000 END")
+def esta_slack_binned(spark, sf_dir):
+    return extended.merge_tags(tags(spark, sf_dir), ["l_linestatus"], coarse=5000, fine=100, threshold=F.lit(40000))
+
+
+# --- probability ------------------------------------------------------------------------------------------------
+
+
+def counts(spark):
+    rows = [(0, "R", 3), (0, "F", 2), (0, "H", 1), (0, "L", 2), (1, "R", 1), (1, "F", 1), (1, "H", 5), (1, "L", 1)]
+    return spark.createDataFrame(rows, "pi int, trans string, minterms long")
+
+
+@query("SELECT n_nationkey AS pi, trans, 0.25::DOUBLE AS weight FROM nation, (VALUES ('R'), ('F'), ('H'), ('L')) v(trans)")
+def uniform_weights(spark, sf_dir):
+    return probability.uniform_weights(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pi")))
+
+
+@query("SELECT n_nationkey AS pi, 64::BIGINT AS total, 4::BIGINT AS kinds FROM nation")
+def nonuniform_weights(spark, sf_dir):
+    c = probability.random_counts(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pi")), 6, 7)
+    return c.where("minterms > 0").groupBy("pi").agg(F.sum("minterms").alias("total"), F.count(F.lit(1)).alias("kinds"))
+
+
+@query("SELECT pi::INTEGER AS pi, m::BIGINT AS minterm, trans FROM (VALUES (0,0,'R'),(0,1,'F'),(0,2,'H'),(0,3,'L'),(0,4,'R'),(0,5,'F'),(0,6,'L'),(0,7,'R'),(1,0,'R'),(1,1,'F'),(1,2,'H'),(1,3,'L'),(1,4,'H'),(1,5,'H'),(1,6,'H'),(1,7,'H')) v(pi,m,trans)")
+def roundrobin_minterms(spark, sf_dir):
+    return probability.round_robin(counts(spark))
+
+
+@query("SELECT pi::INTEGER AS pi, m::BIGINT AS minterm, trans FROM (VALUES (0,0,'R'),(0,1,'R'),(0,3,'F'),(0,2,'F'),(0,6,'L'),(0,7,'L'),(0,5,'H'),(0,4,'R'),(1,0,'H'),(1,1,'H'),(1,3,'H'),(1,2,'H'),(1,6,'R'),(1,7,'F'),(1,5,'L'),(1,4,'H')) v(pi,m,trans)")
+def gray_minterms(spark, sf_dir):
+    return probability.grouped(counts(spark), gray_code=True)
+
+
+@query("SELECT a::INTEGER AS a, b::INTEGER AS b, trans_a, trans_b, n::BIGINT AS n FROM (VALUES (0,1,'R','R',1),(0,1,'F','F',1),(0,1,'H','H',1),(0,1,'L','L',1),(0,1,'R','H',2),(0,1,'F','H',1),(0,1,'L','H',1)) v(a,b,trans_a,trans_b,n)")
+def joint_distribution_check(spark, sf_dir):
+    return probability.pair_table(probability.round_robin(counts(spark)).select("minterm", "pi", "trans"))
+
+
+@query("SELECT i AS vec, substr('RFHL', (i % 4 + 1)::INTEGER, 1) AS a, substr('RFHL', (i // 4 % 4 + 1)::INTEGER, 1) AS b FROM range(16) t(i)")
+def minterm_expand(spark, sf_dir):
+    return extended.assignments(spark, ("a", "b"))
+
+
+# --- waveforms ----------------------------------------------------------------------------------------------------
+
+WAVE = """WITH c AS (SELECT user_id AS run_id, event_type AS signal, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) AS t,
+  CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) % 2 AS INTEGER) AS val FROM events),
+k AS (SELECT run_id, t, val, lag(val) OVER w AS before, lead(t) OVER w AS fall FROM c WHERE signal = 'view' WINDOW w AS (PARTITION BY run_id ORDER BY t)),
+y AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY t) - 1 AS cycle, t AS rise, fall FROM k
+  WHERE before = 0 AND val = 1 AND fall IS NOT NULL AND fall < (SELECT max(t) FROM c WHERE c.run_id = k.run_id)),
+m AS (SELECT y.run_id, y.cycle, s.signal,
+  (SELECT max_by(val, t) FROM c WHERE c.run_id = y.run_id AND c.signal = s.signal AND c.t < y.rise) AS initial,
+  (SELECT max_by(val, t) FROM c WHERE c.run_id = y.run_id AND c.signal = s.signal AND c.t < y.fall) AS final,
+  coalesce((SELECT CASE WHEN max(t) >= y.rise THEN max(t) - y.rise END FROM c WHERE c.run_id = y.run_id AND c.signal = s.signal AND c.t < y.fall), 0) AS delay
+  FROM y, (VALUES ('purchase'), ('error')) s(signal))"""
+
+
+@query(f"{WAVE} SELECT run_id, t, CASE WHEN before = 0 AND val = 1 THEN 'rise' ELSE 'fall' END AS edge FROM k WHERE before IS NOT NULL")
+def vcd_clock_edges(spark, sf_dir):
+    return waveform.clock_edges(inputs.changes(spark, sf_dir), "view")
+
+
+@query(f"{WAVE} SELECT * FROM y")
+def vcd_cycles(spark, sf_dir):
+    return waveform.cycles(inputs.changes(spark, sf_dir), "view")
+
+
+@query(f"{WAVE}, w AS (SELECT run_id, t, max(val) FILTER (WHERE signal = 'purchase') AS p, max(val) FILTER (WHERE signal = 'error') AS e FROM c GROUP BY run_id, t) SELECT run_id, t, last_value(p IGNORE NULLS) OVER o AS purchase, last_value(e IGNORE NULLS) OVER o AS error FROM w WINDOW o AS (PARTITION BY run_id ORDER BY t ROWS UNBOUNDED PRECEDING)")
+def vcd_ffill(spark, sf_dir):
+    return waveform.filled(inputs.changes(spark, sf_dir), list(SIGNALS))
+
+
+@query(f"{WAVE} SELECT * FROM m")
+def vcd_delays(spark, sf_dir):
+    return waveform.measured(inputs.changes(spark, sf_dir), "view", list(SIGNALS))
+
+
+@query(f"{WAVE} SELECT run_id, cycle, signal, CASE WHEN initial IS NULL OR final IS NULL THEN 'X' WHEN initial = 0 AND final = 1 THEN 'R' WHEN initial = 1 AND final = 0 THEN 'F' WHEN final = 1 THEN 'H' ELSE 'L' END AS trans FROM m")
+def vcd_transitions(spark, sf_dir):
+    m = waveform.measured(inputs.changes(spark, sf_dir), "view", list(SIGNALS))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("x"))
+    return m.select("run_id", "cycle", "signal", truth.transition(known("initial"), known("final")).alias("trans"))
+
+
+@query(f"{WAVE} SELECT run_id, cycle, max(delay) AS delay FROM m GROUP BY run_id, cycle")
+def vcd_max_delay(spark, sf_dir):
+    return waveform.measured(inputs.changes(spark, sf_dir), "view", list(SIGNALS)).groupBy("run_id", "cycle").agg(F.max("delay").alias("delay"))
+
+
+# --- distributions ------------------------------------------------------------------------------------------------
+
+HIST = "WITH h AS (SELECT l_returnflag AS key, l_quantity::BIGINT AS delay, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+@query(f"{HIST} SELECT key, delay, n, round(n / sum(n) OVER (PARTITION BY key), 9) AS probability FROM h")
+def delay_hist(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("key"), F.col("l_quantity").cast("long").alias("q"))
+    return distribution.histogram(li, ["key"], "q").withColumn("probability", F.round("probability", 9))
+
+
+@query(f"{HIST} SELECT key, delay, n, (sum(n) OVER (PARTITION BY key ORDER BY delay))::BIGINT AS cumulative FROM h")
+def delay_cdf(spark, sf_dir):
+    return distribution.cdf(inputs.histogram_of(spark, sf_dir), ["key"], "n")
+
+
+@query(f"{HIST} SELECT delay, coalesce(sum(n) FILTER (WHERE key = 'A'), 0)::BIGINT AS \"prob:A\", coalesce(sum(n) FILTER (WHERE key = 'N'), 0)::BIGINT AS \"prob:N\" FROM h WHERE key IN ('A', 'N') GROUP BY delay")
+def multi_hist_pivot(spark, sf_dir):
+    return distribution.pivoted(inputs.histogram_of(spark, sf_dir).where("key in ('A', 'N')"), "key", ["A", "N"], "n")
+
+
+@query(f"{HIST} SELECT least(floor((delay - 0) / 5.0), 9)::INTEGER AS bin, sum(n)::BIGINT AS n FROM h WHERE delay BETWEEN 0 AND 50 GROUP BY 1")
+def plot_bins(spark, sf_dir):
+    h = inputs.histogram_of(spark, sf_dir).withColumnRenamed("n", "probability")
+    return distribution.plot_bins(h, 0, 50, 10).withColumnRenamed("probability", "n")
+
+
+@query(f"{HIST}, p AS (SELECT key, delay, round(n / sum(n) OVER (PARTITION BY key), 9) AS probability FROM h) SELECT * FROM p UNION ALL SELECT key, 0, 0.0 FROM p GROUP BY key HAVING count(*) FILTER (WHERE delay = 0) = 0")
+def zero_row(spark, sf_dir):
+    return distribution.with_zero(delay_hist(spark, sf_dir).drop("n"), ["key"])
+
+
+EMD = """, u AS (SELECT delay, sum(CASE key WHEN 'A' THEN n / (SELECT sum(n) FROM h WHERE key = 'A') ELSE -n / (SELECT sum(n) FROM h WHERE key = 'N') END) AS d FROM h WHERE key IN ('A', 'N') GROUP BY delay),
+g AS (SELECT abs(sum(d) OVER (ORDER BY delay)) * (lead(delay) OVER (ORDER BY delay) - delay) AS gap FROM u)"""
+
+
+def _probabilities(spark, sf_dir, key):
+    return distribution.histogram(table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == key).select(F.col("l_quantity").cast("long").alias("q")), [], "q")
+
+
+@query(f"{HIST} {EMD} SELECT round(sum(gap), 9) AS emd FROM g")
+def emd(spark, sf_dir):
+    d = distribution.earth_mover(_probabilities(spark, sf_dir, "A"), _probabilities(spark, sf_dir, "N"))
+    return d.select(F.round("emd", 9).alias("emd"))
+
+
+@query(f"{HIST} {EMD} SELECT round((SELECT sum(gap) FROM g) / ((SELECT max(delay) FROM h WHERE key = 'A') - (SELECT sum(delay * n) / sum(n) FROM h WHERE key = 'A')), 9) AS normalised")
+def emd_normalised(spark, sf_dir):
+    a = _probabilities(spark, sf_dir, "A")
+    step = a.agg(F.max("delay").alias("delay")).withColumn("probability", F.lit(1.0))
+    x = distribution.earth_mover(a, _probabilities(spark, sf_dir, "N")).withColumnRenamed("emd", "x")
+    return x.join(distribution.earth_mover(a, step), how="inner").select(F.round(distribution.normalised(F.col("x"), F.col("emd")), 9).alias("normalised"))
+
+
+@query(f"{HIST} SELECT key, round(sum(delay * n) / sum(n), 6) AS mean FROM h GROUP BY key")
+def mean_delay(spark, sf_dir):
+    h = distribution.histogram(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("key"), F.col("l_quantity").cast("long").alias("q")), ["key"], "q")
+    return distribution.mean_delay(h, ["key"]).select("key", F.round("mean", 6).alias("mean"))
+
+
+@query(f"{HIST} SELECT key, max(delay) AS structural, max(CASE WHEN delay <= 40 THEN delay END) AS true_max FROM h GROUP BY key")
+def false_path(spark, sf_dir):
+    h = inputs.histogram_of(spark, sf_dir).withColumn("probability", F.when(F.col("delay") <= 40, F.col("n")).otherwise(0))
+    return distribution.false_path(h, ["key"])
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS c, floor(o_totalprice)::BIGINT AS d FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN '?' ELSE o_orderstatus END AS c, floor(o_totalprice)::BIGINT + o_orderkey % 3 - 1 AS d FROM orders)
+SELECT count(a.d) FILTER (WHERE b.d IS NOT NULL) AS matched, count(*) FILTER (WHERE a.d IS NULL OR b.d IS NULL) AS unmatched, count(*) FILTER (WHERE a.c <> b.c) AS other_class, count(*) FILTER (WHERE b.d - a.d <= -1) AS optimistic, count(*) FILTER (WHERE b.d > a.d) AS pessimistic, count(*) FILTER (WHERE b.d = a.d) AS equal FROM a FULL JOIN b ON a.k = b.k""")
+def compare_exhaustive(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    d = F.floor("o_totalprice").cast("long")
+    a = o.where("o_orderkey % 7 <> 0").select("o_orderkey", "o_orderstatus", d.alias("d"))
+    b = o.select("o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, "?").otherwise(F.col("o_orderstatus")).alias("c"), (d + F.col("o_orderkey") % 3 - 1).alias("d"))
+    return distribution.compare(a, b, ["k"])
+
+
+@query()
+def mean_ci(spark, sf_dir):
+    return distribution.mean_interval(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+@query()
+def max_prob_ci(spark, sf_dir):
+    return distribution.largest_interval(table(spark, sf_dir, "lineitem").select("l_quantity"), "l_quantity")
+
+
+@query("WITH r AS (SELECT l_quantity AS q, row_number() OVER (ORDER BY md5(l_orderkey || ':' || l_linenumber || ':' || l_partkey), l_quantity) AS i FROM lineitem) SELECT n, round(avg(q), 6) AS mean FROM r, (VALUES (10), (100), (1000)) v(n) WHERE i <= n GROUP BY n")
+def mc_convergence(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    order = [F.md5(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))), F.col("l_quantity")]
+    return distribution.prefix_means(li, order, "l_quantity", [10, 100, 1000]).select("n", F.round("mean", 6).alias("mean"))
+
+
+# --- sources --------------------------------------------------------------------------------------------------------
+
+SDF = r'(DELAYFILE (SDFVERSION "2.1") (CELL (CELLTYPE "fpga_interconnect") (INSTANCE routing_segment_a_output_0_0_to_b_input_0_0) (DELAY (ABSOLUTE (IOPATH datain dataout (5:5:5.4) (5:5:5.4))))) (CELL (CELLTYPE "LUT_K") (INSTANCE lut_b) (DELAY (ABSOLUTE (IOPATH in\[0\] out (10:10:10) (10:10:10)) (IOPATH in\[1\] out (20:20:20) (20:20:20)))))) '
+
+
+@query("SELECT 'co' AS output, 3 AS inputs, 4 AS rows UNION ALL SELECT 's', 3, 4")
+def blif_parse(spark, sf_dir):
+    rows = [(n["output"], len(n["inputs"]), len(n["cover"])) for n in blif.parse(ADDER1)["names"]]
+    return spark.createDataFrame(rows, "output string, inputs int, rows int")
+
+
+@query("SELECT 'fpga_interconnect' AS celltype, 'a' AS driver, 'b' AS sink, 0 AS pin, 5::BIGINT AS delay UNION ALL SELECT 'LUT_K', '', '', 0, 10 UNION ALL SELECT 'LUT_K', '', '', 1, 20")
+def sdf_annotate(spark, sf_dir):
+    rows = [(c["celltype"], c["instance"], p["pos"], p["rise"]["max"]) for c in sdf.parse(SDF)["cells"] for p in c["iopaths"]]
+    d = spark.createDataFrame(rows, "celltype string, instance string, pin int, rise double")
+    part = lambda i: F.regexp_extract("instance", r"^routing_segment_(.*)_output_\d+_\d+_to_(.*)_(?:input|clock)_\d+_\d+$", i)
+    return d.select("celltype", part(1).alias("driver"), part(2).alias("sink"), "pin", F.round("rise").cast("long").alias("delay"))
