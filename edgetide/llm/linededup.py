@@ -290,7 +290,8 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST)
     flags = rows.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct("line_no", "stays")).alias("f"), F.min("stays").alias("whole"))
     flags = flags.where(~F.col("whole")).select("d", "k", F.transform(F.array_sort("f"), lambda x: x["stays"]).alias("stays"))
     flags = stage(flags, "line-flags")
-    joined = docs.withColumn("_k", text_key()).join(lookup(flags, 100_000), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_k") == F.col("k")), "left")
+    # flags grow with the texts, so this side is never broadcast by its row count
+    joined = docs.withColumn("_k", text_key()).join(flags, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_k") == F.col("k")), "left")
     cleaned = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("stays", i), F.lit(True))), "\n")
     joined = joined.withColumn("_new", F.when(F.col("stays").isNotNull(), cleaned).otherwise(F.col("text")))
     joined = joined.where(F.col("stays").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
