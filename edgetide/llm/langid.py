@@ -93,6 +93,8 @@ def fit(texts: list[bytes], langs: list[str]) -> Model:
 
 
 def finish(names: tuple[str, ...], counts: np.ndarray, script: np.ndarray) -> Model:
+    if not names:
+        return Model(names, counts.astype(np.float32), script > 0)
     total = counts.sum(axis=0, keepdims=True)
     p = (counts + 0.5) / (total + 0.5 * (1 << BITS))
     # against the mean over languages: a gram that says nothing scores nothing, and one gram alone can't decide

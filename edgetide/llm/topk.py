@@ -30,7 +30,9 @@ def quantised(vectors: DataFrame, key: str, column: str, scale: int = 256) -> Da
     """(key, vector): floor(scale * x) of each component as double; vectors that are null or hold null or non-finite parts go."""
     x = F.transform(F.col(column), lambda v: v.cast("double"))
     whole = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    return vectors.where(whole).select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("double")).alias("vector"))
+    # from 2**52 on a double is whole already, and a long could not hold it
+    floor = lambda v: F.when(F.abs(v * scale) >= 2.0**52, v * scale).otherwise(F.floor(v * scale).cast("double"))
+    return vectors.where(whole).select(F.col(key).cast("long").alias("id"), F.transform(x, floor).alias("vector"))
 
 
 def matrix(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
