@@ -12,6 +12,7 @@ from edgetide.operators import distribution, extended, graph, probability, timin
 from edgetide.plans import inputs
 from edgetide.plans.inputs import EDGES, SIGNALS, table
 from edgetide.sources import blif, sdf
+from edgetide.staging import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,7 +39,8 @@ b(node, r) AS (SELECT node, {{end}} FROM ends UNION ALL SELECT e.src, b.r - e.de
 
 
 def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    e = inputs.edges(spark, sf_dir)
+    # every level reads the edges again, so they are written once
+    e = written(inputs.edges(spark, sf_dir))
     return e, graph.levelize(e)
 
 

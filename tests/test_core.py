@@ -15,7 +15,7 @@ CHEAP = [n for n in catalog.ORACLES if not n.startswith(("sta_", "hold_", "multi
 
 def plain(frame, columns):
     def text(x):
-        if x is None or x != x or str(x) in ("<NA>", "None"):
+        if str(x) in ("<NA>", "None", "nan"):
             return ""
         return str(float(x)) if not isinstance(x, str) else x
 
