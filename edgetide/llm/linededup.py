@@ -49,12 +49,8 @@ def place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key", "line_no")
 
 
-def segment(length: Column, count: int, k: int) -> Column:
-    """Start (from 0) of the k-th of ``count`` segments of a line; k = count gives its end."""
-    return segment_at(length, count, F.lit(k))
-
-
 def segment_at(length: Column, count: int, k: Column) -> Column:
+    """Start (from 0) of the k-th of ``count`` segments of a line; k = count gives its end."""
     return F.call_function("div", length * k, F.lit(count)).cast("int")
 
 
@@ -72,21 +68,31 @@ def shifts(edits: int, d: int, steps: int, at: int = 0, spent: int = 0) -> list[
     return out
 
 
-def index_keys(edits: int) -> Column:
+def keyed(lines: DataFrame, cases: list[tuple[int, int, int]], edits: int, *keep: Column) -> DataFrame:
+    """``keep`` and a key for each case (d, k, s): the length less d, k, and what segment k of a line that much shorter
+    has, read s characters further right.
+
+    The cases are a constant array that is exploded before the keys are made: one short expression, not one a case, which
+    would be more code than the JVM compiles. Four bytes a character let a segment be cut out without a scan.
+    """
+    array = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(s).alias("s")) for d, k, s in cases])
+    rows = lines.withColumn("wide", F.encode("line", "UTF-32")).select(*keep, "n", "wide", F.explode(array).alias("c"))
+    n, k, s = F.col("n") - F.col("c.d"), F.col("c.k"), F.col("c.s")
+    start, end = segment_at(n, edits + 1, k), segment_at(n, edits + 1, k + 1)
+    text = F.substring("wide", (start + s) * 4 + 1, (end - start) * 4)
+    return rows.select(*[c for c in rows.columns if c not in ("n", "wide", "c")], F.xxhash64(n, k, text).alias("key"))
+
+
+def index_keys(lines: DataFrame, edits: int, *keep: Column) -> DataFrame:
     """Under one key for each segment: length, segment number, its text."""
-    n, count = F.col("n"), edits + 1
-    return F.array(*[F.xxhash64("n", F.lit(k), part(segment(n, count, k), segment(n, count, k + 1))) for k in range(count)])
+    return keyed(lines, [(0, k, 0) for k in range(edits + 1)], edits, *keep)
 
 
-def probe_keys(edits: int) -> Column:
+def probe_keys(lines: DataFrame, edits: int, *keep: Column) -> DataFrame:
     """Substrings that segment k of a line shorter by d can be: the shift lies within k edits to its left and, seen from
     the other end, within ``edits`` - k to its right."""
-    keys, count = [], edits + 1
-    for d in range(edits + 1):
-        n = F.col("n") - d
-        for k in range(count):
-            keys += [F.xxhash64(n, F.lit(k), part(segment(n, count, k) + s, segment(n, count, k + 1) + s)) for s in range(-edits, edits + 1) if abs(s) <= k and abs(s - d) <= edits - k]
-    return F.array(*keys)
+    cases = [(d, k, s) for d in range(edits + 1) for k in range(edits + 1) for s in range(-edits, edits + 1) if abs(s) <= k and abs(s - d) <= edits - k]
+    return keyed(lines, cases, edits, *keep)
 
 
 def fine_keys(edits: int, segments: int, probe: bool) -> Column:
@@ -184,8 +190,8 @@ def bound(value: Column, use) -> Column:
 
 def crowded(lines: DataFrame, edits: int) -> DataFrame:
     """(key) of index keys that many lines share, found on one line in CROWD_SAMPLE: what it misses is small."""
-    some = lines.where(F.pmod("h1", F.lit(CROWD_SAMPLE)) == 0).select(F.explode(index_keys(edits)).alias("key"))
-    return stage(some.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key"), "line-crowds")
+    some = lines.where(F.pmod("h1", F.lit(CROWD_SAMPLE)) == 0)
+    return stage(index_keys(some, edits).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key"), "line-crowds")
 
 
 def verified(left: str, right: str, edits: int) -> Column:
@@ -204,9 +210,9 @@ def meetings(lines: DataFrame, edits: int) -> DataFrame:
     Keys that many lines share are left out of the index; only a mark stays in their place.
     """
     crowds = lookup(crowded(lines, edits))
-    index = lines.select("h1", F.explode(index_keys(edits)).alias("key")).join(crowds, "key", "left_anti")
+    index = index_keys(lines, edits, F.col("h1")).join(crowds, "key", "left_anti")
     index = index.unionByName(crowds.select(F.lit(None).cast("long").alias("h1"), "key"))
-    probe = lines.select(F.col("h1").alias("g1"), F.explode(probe_keys(edits)).alias("key"))
+    probe = probe_keys(lines, edits, F.col("h1").alias("g1"))
     other = F.col("h1").isNull() | (F.col("h1") != F.col("g1"))
     return stage(index.join(probe, "key").where(other).select("h1", "g1").distinct(), "line-meetings")
 
@@ -216,7 +222,7 @@ def links_in_crowds(lines: DataFrame, edits: int, segments: int) -> DataFrame:
     segments. Variants of one text, which share a third of it, meet only if they agree but for small parts; they are
     verified where they meet, so no pair that fails leaves the join."""
 
-    def keyed(probe: bool) -> DataFrame:
+    def fine(probe: bool) -> DataFrame:
         rows = lines.select(*[F.col(c).alias(c.replace("h", "g") if probe else c) for c in ("h1", "h2")], F.col("line").alias("right" if probe else "left"), F.explode(fine_keys(edits, segments, probe)).alias("k"))
         names = {"key": "key"} | ({"own": "right_own"} if probe else {"own": "left_own", "free": "free"})
         return rows.select(*[c for c in rows.columns if c != "k"], *[F.col(f"k.{c}").alias(name) for c, name in names.items()])
@@ -226,7 +232,7 @@ def links_in_crowds(lines: DataFrame, edits: int, segments: int) -> DataFrame:
     changed = F.zip_with("left_own", "right_own", lambda a, b: a != b)
     lowest = F.zip_with(F.zip_with(changed, "free", lambda c, f: F.when(c, -1).otherwise(f)), F.sequence(F.lit(0), F.lit(edits - 1)), lambda f, r: (f == -1) | (f == r))
     once = F.forall(lowest, lambda x: x) | F.forall(changed, lambda c: ~c)
-    left, right = keyed(False).alias("l"), keyed(True).alias("r")
+    left, right = fine(False).alias("l"), fine(True).alias("r")
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("h1") != F.col("g1")) & once & verified("left", "right", edits))
     swap = F.col("h1") > F.col("g1")
     return met.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("h1", "g1"), ("h2", "g2"), ("g1", "h1"), ("g2", "h2"))])
