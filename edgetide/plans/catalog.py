@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgetide.functions import truth
-from edgetide.operators import distribution, extended, graph, probability, timing, waveform
+from edgetide.operators import distribution, extended, graph, netlist, probability, timing, waveform
 from edgetide.plans import inputs
 from edgetide.plans.inputs import EDGES, SIGNALS, table
-from edgetide.sources import blif, sdf
+from edgetide.sources import blif, echo, sdf, writers
 from edgetide.staging import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -472,3 +472,41 @@ def sdf_annotate(spark, sf_dir):
     d = spark.createDataFrame(rows, "celltype string, instance string, pin int, rise double")
     part = lambda i: F.regexp_extract("instance", r"^routing_segment_(.*)_output_\d+_\d+_to_(.*)_(?:input|clock)_\d+_\d+$", i)
     return d.select("celltype", part(1).alias("driver"), part(2).alias("sink"), "pin", F.round("rise").cast("long").alias("delay"))
+
+
+FLIPFLOP = ".model top\n.inputs a clk\n.outputs q\n.names a q d\n11 1\n.latch d q re clk 2\n.end\n"
+ECHO = "num_tnodes: 2\nNode #\tType\t\tipin\tiblk\tDomain\tis_clk_src\tSkew\tI/O Delay\t# edges\tto_node     Tdel\n0\tTN_INPAD_SOURCE\t\t3\t0\t1\t\t\t1\t1\t1e-9\n1\tTN_OUTPAD_SINK\t\t\t\t\t\t\t0\n"
+
+
+def _network(spark, text):
+    p = blif.parse(text)
+    schemas = {"ports": blif.PORTS, "names": blif.NAMES, "latches": blif.LATCHES, "subckts": blif.SUBCKTS}
+    t = {k: spark.createDataFrame(p[k], s) for k, s in schemas.items()}
+    found = netlist.nodes(**t)
+    return found, netlist.edges(**t, found=found)
+
+
+@query("SELECT * FROM (VALUES ('CLOCK_SOURCE', 1), ('CLOCK_OPIN', 1), ('INPAD_SOURCE', 1), ('INPAD_OPIN', 1), ('OUTPAD_IPIN', 1), ('OUTPAD_SINK', 1), ('FF_IPIN', 1), ('FF_SINK', 1), ('FF_SOURCE', 1), ('FF_OPIN', 1), ('FF_CLOCK', 1), ('PRIMITIVE_IPIN', 2), ('PRIMITIVE_OPIN', 1)) t(type, n)")
+def netlist_nodes(spark, sf_dir):
+    return _network(spark, FLIPFLOP)[0].groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('net', 5, 5), ('cell', 9, 28)) t(kind, n, delay)")
+def netlist_annotated(spark, sf_dir):
+    delays = [("fpga_interconnect", "routing_segment_a_output_0_0_to_lut_d_input_0_0", 0, 5.4), ("LUT_K", "lut_d", 1, 20.0), ("DFF", "latch_q", 0, 7.5)]
+    links = netlist.annotate(_network(spark, FLIPFLOP)[1], spark.createDataFrame(delays, "celltype string, instance string, pin int, value double"))
+    return links.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("delay").alias("delay"))
+
+
+@query("SELECT 0 AS src, 1 AS sink, 1e-9::DOUBLE AS delay")
+def echo_edges(spark, sf_dir):
+    return spark.createDataFrame([r for k, r in echo.parse(ECHO) if k == "tedges"], echo.SCHEMAS["tedges"])
+
+
+@query(f"""WITH e AS ({EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT 0 AS part, 'digraph G {{' AS line UNION ALL SELECT 3, '}}'
+UNION ALL SELECT 1, '"' || node || '"[label="' || substr(node, 1, 1) || '"]' FROM n
+UNION ALL SELECT 2, '"' || src || '" -> "' || dst || '"[label="' || delay || '"]' FROM e""")
+def dot_lines(spark, sf_dir):
+    e = inputs.edges(spark, sf_dir)
+    return writers.dot(graph.nodes_of(e).select("node", F.substring("node", 1, 1).alias("type")), e)

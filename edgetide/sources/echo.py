@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCHEMAS = {
+    "tnodes": "node_id long, type string, ipin int, iblk int, domain int, is_clk_src boolean, skew double, io_delay double",
+    "tedges": "src long, sink long, delay double",
+    "levels": "level int, node_id long",
+    "arr_req": "src_domain int, sink_domain int, node_id long, t_arr double, t_req double",
+    "clock_constraints": "src int, sink int, value double",
+    "io_constraints": "node_id long, dir string, value double",
+}
+
 #: Heads of sections, as they begin a line.
 HEADS = {"Node #\tType": "nodes", "Net #": "nets", "Node #\t\tT_arr": "times", "Clock Constraints": "clock", "Input Constraints": "input", "Output Constraints": "output"}
 COLUMN_HEADS = ("Src_Clk", "tnode_id")
@@ -55,3 +69,16 @@ def parse(text: str) -> Iterator[tuple[str, tuple]]:
             yield "clock_constraints", (int(filled[0]), int(filled[1]), float(filled[2]))
         elif section in ("input", "output") and float(filled[1]) != -1:
             yield "io_constraints", (int(filled[0]), section, float(filled[1]))
+
+
+def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = {k: [c.split()[0] for c in s.split(", ")] for k, s in SCHEMAS.items()}
+    for b in batches:
+        rows = [(p, kind, json.dumps(dict(zip(names[kind], r)))) for p, text in zip(b["path"], b["value"]) for kind, r in parse(text)]
+        yield pd.DataFrame(rows, columns=["path", "kind", "row"])
+
+
+def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of ``parse`` over all files of a path, each row with its file; one task reads a whole file."""
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").mapInPandas(_flat, "path string, kind string, row string")
+    return {k: rows.where(F.col("kind") == k).select("path", F.from_json("row", s).alias("r")).select("path", "r.*") for k, s in SCHEMAS.items()}

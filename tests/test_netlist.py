@@ -54,7 +54,7 @@ def test_problems(spark):
     assert got == {("one driver", "y"), ("one driver", "c"), ("one driver", "q"), ("known model", "gone"), ("rising edge", "q")} - {("one driver", "q")}
 
 
-def test_echo():
+def test_echo(spark, tmp_path):
     node = "0\tTN_INPAD_SOURCE\t\t3\t0\t1\t\t0.5\t2\t1\t1e-9\n" + "\t" * 11 + "2\t2e-9\n1\tTN_OUTPAD_SINK\t\t\t\t\t\t\t1\t-1\t0\n"
     text = "num_tnodes: 2\nNode #\tType\t\tipin\tiblk\tDomain\tis_clk_src\tSkew\tI/O Delay\t# edges\tto_node     Tdel\n\n" + node
     text += "num_tnode_levels: 1\nLevel: 0 Num_nodes: 2\nNodes:\t0\t1\nSRC_Domain: 0\tSINK_Domain: 1\nNode #\t\tT_arr\t\tT_req\n0\t1e-9\t\t-\n"
@@ -64,6 +64,10 @@ def test_echo():
     assert [r for k, r in got if k == "tedges"] == [(0, 1, 1e-9), (0, 2, 2e-9)]
     assert [r for k, r in got if k in ("levels", "arr_req")] == [(0, 0), (0, 1), (0, 1, 0, 1e-9, None)]
     assert [r for k, r in got if "constraints" in k] == [(0, 1, 5e-9), (0, "input", 0.5)]
+    (tmp_path / "g.echo").write_text(text)
+    tables = echo.read(spark, str(tmp_path))
+    for name, df in tables.items():
+        assert [tuple(r)[1:] for r in df.collect()] == [r for k, r in got if k == name]
 
 
 def test_sinks(spark, tmp_path):
