@@ -101,6 +101,8 @@ def test_line_links_against_all_pairs(spark, docs, nothing):
     lines = []
     for k in range(12):
         base = words(9, 100 + k)[:60].ljust(45, "k") + "é"
+        if k % 2:
+            base = base[:10] + "ßé語" + base[10:30] + "😀" + base[30:]
         lines.append(base)
         for _ in range(3):
             w = list(base)
