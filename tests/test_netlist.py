@@ -3,7 +3,7 @@
 import glob
 
 from edgetide.operators import netlist
-from edgetide.sources import blif, echo, writers
+from edgetide.sources import blif, echo, endpoints, writers
 
 TEXT = """.model top
 .inputs a clk
@@ -78,3 +78,10 @@ def test_sinks(spark, tmp_path):
     writers.write_dot(n, spark.createDataFrame([('a"b', "c", 3)], "src string, dst string, delay long"), f"{tmp_path}/d")
     text = "".join(open(x).read() for x in sorted(glob.glob(f"{tmp_path}/d/*.txt")))
     assert text.splitlines()[0] == "digraph G {" and text.splitlines()[-1] == "}" and '"a\\"b" -> "c"[label="3"]' in text
+
+
+def test_endpoints(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"endpoint_timing": [\n{"node_identifier": "q", "T_arr": 2e-9},\n{"node_identifier": "z"}]}')
+    (tmp_path / "b.json").write_text("{}")
+    got = {r.node: r.arrival_ps for r in endpoints.read(spark, str(tmp_path)).collect()}
+    assert set(got) == {"q", "z"} and abs(got["q"] - 2000) < 1e-6 and got["z"] is None
