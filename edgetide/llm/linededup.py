@@ -97,7 +97,7 @@ def probe_keys(lines: DataFrame, edits: int, *keep: Column) -> DataFrame:
 
 def fine_keys(edits: int, segments: int, probe: bool) -> Column:
     """Structs (key, free, own): keys of all but ``edits`` of ``segments`` segments, which is what edits within those few
-    leave alone; the numbers of those free segments, and hashes of what the line has there.
+    leave alone; the numbers of those free segments, and hashes of what the line has there and how far that moves what follows.
 
     What lies between two free segments of the shorter line is moved in the longer one as ``shifts`` allows. The cases
     are a constant array that one expression runs over: as many expressions would be too much code.
@@ -114,7 +114,7 @@ def fine_keys(edits: int, segments: int, probe: bool) -> Column:
         moved = [F.get(x["moved"], i) for i in range(edits + 1)]
         starts = [F.lit(0)] + [at(F.get(x["free"], i) + 1) + moved[i + 1] for i in range(edits)]
         ends = [at(F.get(x["free"], i)) + moved[i] for i in range(edits)] + [F.col("n")]
-        own = F.array(*[F.xxhash64(part(at(F.get(x["free"], i)) + moved[i], at(F.get(x["free"], i) + 1) + moved[i])) for i in range(edits)])
+        own = F.array(*[F.xxhash64(part(at(F.get(x["free"], i)) + moved[i], at(F.get(x["free"], i) + 1) + moved[i]), moved[i + 1] - moved[i]) for i in range(edits)])
         return F.struct(F.xxhash64(n, x["free"], *[part(a, b) for a, b in zip(starts, ends)]).alias("key"), x["free"].alias("free"), own.alias("own"))
 
     return F.transform(F.expr(f"array({', '.join(cases)})"), key)
@@ -228,7 +228,8 @@ def links_in_crowds(lines: DataFrame, edits: int, segments: int) -> DataFrame:
         return rows.select(*[c for c in rows.columns if c != "k"], *[F.col(f"k.{c}").alias(name) for c, name in names.items()])
 
     # lines that differ in fewer segments than are free meet under many keys: only that counts whose unchanged free
-    # segments are the lowest numbers left
+    # segments are the lowest numbers left. A segment is unchanged if its text is the same and what follows it is moved
+    # as far as what comes before it: only then can any other segment be free in its place.
     changed = F.zip_with("left_own", "right_own", lambda a, b: a != b)
     lowest = F.zip_with(F.zip_with(changed, "free", lambda c, f: F.when(c, -1).otherwise(f)), F.sequence(F.lit(0), F.lit(edits - 1)), lambda f, r: (f == -1) | (f == r))
     once = F.forall(lowest, lambda x: x) | F.forall(changed, lambda c: ~c)

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import zlib
+from itertools import combinations
+from os.path import commonprefix
 
 import pytest
 
@@ -122,6 +124,30 @@ def test_line_links_against_all_pairs(spark, docs, nothing):
     assert [t for i, t in kept if i == 12] == [TEXTS[13][1].split("\n")[1]]
 
 
+def test_crowds_of_template_lines_against_all_pairs(spark):
+    r = random.Random(9)
+    base = "The committee will review every submitted proposal before the end of the month and answer"
+    lines = {base}
+    while len(lines) < 160:
+        w = list(base)
+        for _ in range(r.randint(1, 2)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = r.choice(["", "z", "q", "zz"])
+        lines.add("".join(w) + r.choice(["", "", ".", "!", "..", "s."]))
+    lines = sorted(lines)
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {row.doc_id: row.n_links for row in linededup.dedup_lines(d).collect()}
+    want = dict.fromkeys(range(len(lines)), 0)
+    for i, j in combinations(want, 2):
+        a, b = lines[i], lines[j]
+        same = len(commonprefix([a, b]))
+        a, b = a[same:], b[same:]
+        if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+            want[i] += 1
+            want[j] += 1
+    assert got == want
+
+
 def test_containment_against_sets(spark, docs, nothing):
     items = [(1, " ".join(LONG.split()[20_000:20_030])), (2, None), (3, ""), (4, "one two"), (5, words(40, 77)), (6, " ".join(LONG.split()[5:9]))]
     t = spark.createDataFrame(items, "item_id long, text string")
