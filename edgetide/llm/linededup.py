@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from edgetide.llm.components import components
 from edgetide.llm.runtime import lookup, prepare, stage
 
-#: Lines of fewer characters, after trimming, are left alone: headings, salutations and the like repeat by nature.
+#: Lines of fewer characters, after trimming, have exact copies only: they are not compared with near copies.
 LEAST = 40
 EDITS = 2
 #: One line in so many is looked at for keys that many lines share.
@@ -33,11 +33,11 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def lines_of(docs: DataFrame, least: int, all_lines: bool = False) -> DataFrame:
-    """(doc_id, text_key, line_no, line): the trimmed lines that take part, or all; texts are split at newlines."""
-    rows = docs.where(F.length("text") >= least).select("doc_id", text_key().alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+def lines_of(docs: DataFrame, all_lines: bool = False) -> DataFrame:
+    """(doc_id, text_key, line_no, line): the trimmed lines that are not blank, or all; texts are split at newlines."""
+    rows = docs.select("doc_id", text_key().alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.trim("line", F.lit(" \t\r\x0b\x0c")))
-    return rows if all_lines else rows.where(F.length("line") >= least)
+    return rows if all_lines else rows.where(F.length("line") > 0)
 
 
 def hashes() -> list[Column]:
@@ -255,10 +255,10 @@ def links(lines: DataFrame, edits: int, segments: int = 4) -> DataFrame:
 
 def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """(h1, h2, n_links, first) of every line that has a copy or a link: ``first`` is the place of its class's first line."""
-    rows = lines_of(docs, least).select(*hashes(), place().alias("first"), "line")
+    rows = lines_of(docs).select(*hashes(), place().alias("first"), "line")
     different = rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
     different = stage(different.withColumn("n", F.length("line")), "lines", codec="zstd")
-    linked = stage(links(different.select("h1", "h2", "n", "line"), edits), "line-links")
+    linked = stage(links(different.where(F.col("n") >= least).select("h1", "h2", "n", "line"), edits), "line-links")
     ends = linked.select("h1", "h2").unionByName(linked.select(F.col("g1").alias("h1"), F.col("g2").alias("h2")))
     degree = stage(ends.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_links")), "line-degrees")
     root = components(linked.select(F.col("h1").alias("a"), F.col("g1").alias("b"))).select(F.col("id").alias("h1"), "root")
@@ -272,15 +272,15 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
 def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """One row per line that takes part: doc_id, line_no (from 0), class_doc_id, class_line_no, n_links, kept.
 
-    docs (doc_id, text; more columns are ignored). Lines of ``least`` characters or more after trimming take part.
-    Equal lines, and lines that a chain of pairs within ``edits`` edits joins, are a class; its first line, by doc_id (null
+    docs (doc_id, text; more columns are ignored). Lines that are not blank take part; those of fewer than ``least``
+    characters after trimming have no links. Equal lines, and lines that a chain of pairs within ``edits`` edits joins, are a class; its first line, by doc_id (null
     last), then text, then line number, is kept. n_links is the number of different texts within ``edits``. Rows with
     the same doc_id and text are one document: their lines get the same result. Null and empty texts have no
     lines; empty tables give empty tables.
     """
     prepare(docs.sparkSession)
     known = lookup(classes(docs, edits, least))
-    rows = lines_of(docs, least).select("doc_id", "line_no", place().alias("here"), *hashes()).join(known, ["h1", "h2"], "left")
+    rows = lines_of(docs).select("doc_id", "line_no", place().alias("here"), *hashes()).join(known, ["h1", "h2"], "left")
     at = F.coalesce("first", "here")
     return rows.select("doc_id", "line_no", at["doc_id"].alias("class_doc_id"), at["line_no"].alias("class_line_no"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (at == F.col("here")).alias("kept"))
 
@@ -292,8 +292,8 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST)
     """
     prepare(docs.sparkSession)
     known = lookup(classes(docs, edits, least))
-    rows = lines_of(docs, least, all_lines=True).select("doc_id", "text_key", "line_no", place().alias("here"), *hashes(), (F.length("line") >= least).alias("big"))
-    rows = rows.join(known, ["h1", "h2"], "left").withColumn("stays", ~F.col("big") | F.col("first").isNull() | (F.col("first") == F.col("here")))
+    rows = lines_of(docs, all_lines=True).select("doc_id", "text_key", "line_no", place().alias("here"), *hashes(), (F.length("line") > 0).alias("filled"))
+    rows = rows.join(known, ["h1", "h2"], "left").withColumn("stays", ~F.col("filled") | F.col("first").isNull() | (F.col("first") == F.col("here")))
     flags = rows.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct("line_no", "stays")).alias("f"), F.min("stays").alias("whole"))
     flags = flags.where(~F.col("whole")).select("d", "k", F.transform(F.array_sort("f"), lambda x: x["stays"]).alias("stays"))
     flags = stage(flags, "line-flags")

@@ -148,6 +148,14 @@ def test_crowds_of_template_lines_against_all_pairs(spark):
     assert got == want
 
 
+def test_short_lines_have_exact_copies(spark):
+    texts = [(1, "MIT License.\n\nOne"), (2, "Two\n MIT License. \n\nOnes"), (3, "One"), (4, " \n"), (5, None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in linededup.dedup_lines(d).collect()}
+    assert got == {(1, 0): (1, 0, 0, True), (1, 2): (1, 2, 0, True), (2, 0): (2, 0, 0, True), (2, 1): (1, 0, 0, False), (2, 3): (2, 3, 0, True), (3, 0): (1, 2, 0, False)}
+    assert sorted(map(tuple, linededup.drop_repeated_lines(d).collect())) == [texts[0], (2, "Two\n\nOnes"), texts[3], texts[4]]
+
+
 def test_containment_against_sets(spark, docs, nothing):
     items = [(1, " ".join(LONG.split()[20_000:20_030])), (2, None), (3, ""), (4, "one two"), (5, words(40, 77)), (6, " ".join(LONG.split()[5:9]))]
     t = spark.createDataFrame(items, "item_id long, text string")
