@@ -135,13 +135,13 @@ def merge_tags(tags: DataFrame, key: list[str], coarse: int = 0, fine: int = 0,
     return tags.groupBy(*key, "trans", high.alias("fine_side"), bins(F.col("arr"), coarse, fine, threshold).alias("bin")).agg(F.max("arr").alias("arr"), F.count(F.lit(1)).alias("n")).drop("fine_side", "bin")
 
 
-def cap_bin(counts: list[dict[int, int]], limit: int, coarse: float, growth: float = 1.2, rounds: int = 200) -> list[int]:
+def cap_bin(counts: list[dict[int, int]], limit: int, coarse: float, growth: float = 1.2) -> list[int]:
     """Tag counts after binning so that their product is at most ``limit``: ever the input with most tags is binned
     more coarsely, until one bin holds its largest delay. counts: arrival -> tags of each input; limit 0 means none."""
     if limit and coarse <= 0:
         raise ValueError("a limit on permutations needs a positive bin")
     sizes, width = [len(c) for c in counts], [coarse] * len(counts)
-    for _ in range(rounds if limit else 0):
+    while limit:
         product = 1
         for s in sizes:
             product *= s

@@ -1,5 +1,7 @@
 """The library's own operators against SQL on the smallest tables, and against values worked out by hand."""
 
+import math
+
 import duckdb
 import pytest
 
@@ -87,3 +89,7 @@ def test_stream_equals_batch(spark, tmp_path):
     columns = ["run_id", "cycle", "signal", "delay"]
     batch = waveform.measured(rows, "view", ["purchase", "error"]).toPandas()
     assert plain(spark.table("cycles_out").toPandas(), columns) == plain(batch, columns)
+
+
+def test_permutation_cap_goes_on_to_its_limit():
+    assert math.prod(extended.cap_bin([{i: 1 for i in range(5000)}] * 6, 1000, 1)) == 972
