@@ -8,27 +8,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgetide.operators.graph import fold, nodes_of
+from edgetide.operators.graph import Plain, fold, plain_fold
 
 
 def sources(edges: DataFrame) -> DataFrame:
-    return nodes_of(edges).join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
+
+
+def starts(levels: DataFrame) -> DataFrame:
+    """The sources again, from the levels: they are the first."""
+    return levels.where("level = 0").select("node")
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
-    return nodes_of(edges).join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    return edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")), "node", "left_anti")
 
 
 def arrival(edges: DataFrame, levels: DataFrame, seeds: DataFrame | None = None, hold: bool = False) -> DataFrame:
     """(node, arrival): latest (hold: earliest) time at every node; sources start at 0 unless seeds (node, arrival) says else."""
-    seeds = sources(edges).withColumn("arrival", F.lit(0).cast("long")) if seeds is None else seeds
-    pick = F.min if hold else F.max
-    return fold(edges, levels, seeds, [], {"arrival": F.col("arrival") + F.col("delay")}, [pick("arrival").alias("arrival")])
+    seeds = starts(levels).withColumn("arrival", F.lit(0).cast("long")) if seeds is None else seeds
+    pick = "min" if hold else "max"
+    return plain_fold(edges, levels, seeds, Plain("arrival", pick, 1))
 
 
 def launched_arrival(edges: DataFrame, levels: DataFrame) -> DataFrame:
     """(node, arrival, launch): the source that the latest time comes from; of equal times the least source."""
-    seeds = sources(edges).select("node", F.lit(0).cast("long").alias("arrival"), F.col("node").alias("launch"))
+    seeds = starts(levels).select("node", F.lit(0).cast("long").alias("arrival"), F.col("node").alias("launch"))
     first = F.struct(-F.col("arrival"), F.col("launch"))
     merge = [F.max("arrival").alias("arrival"), F.min_by("launch", first).alias("launch")]
     return fold(edges, levels, seeds, [], {"arrival": F.col("arrival") + F.col("delay"), "launch": F.col("launch")}, merge)
@@ -43,8 +48,7 @@ def domain_arrival(edges: DataFrame, levels: DataFrame, seeds: DataFrame, pairs:
 
 def required(edges: DataFrame, levels: DataFrame, ends: DataFrame, hold: bool = False) -> DataFrame:
     """(node, required) from ends (node, required): min (hold: max) over out-edges of required minus delay."""
-    pick = F.max if hold else F.min
-    return fold(edges, levels, ends, [], {"required": F.col("required") - F.col("delay")}, [pick("required").alias("required")], backward=True)
+    return plain_fold(edges, levels, ends, Plain("required", "max" if hold else "min", -1), backward=True)
 
 
 def end_constraints(edges: DataFrame, arrivals: DataFrame, constraint: float) -> DataFrame:

@@ -94,7 +94,7 @@ def sta_launch_node(spark, sf_dir):
 @query(f"{PATHS} SELECT node, root AS domain, max(t) AS arrival FROM p WHERE root IN ('R0','R1','R2') GROUP BY node, root")
 def multi_domain_arrival(spark, sf_dir):
     e, levels = network(spark, sf_dir)
-    seeds = timing.sources(e).select("node", F.col("node").alias("domain"), F.lit(0).cast("long").alias("arrival"))
+    seeds = timing.starts(levels).select("node", F.col("node").alias("domain"), F.lit(0).cast("long").alias("arrival"))
     pairs = spark.createDataFrame([("R0",), ("R1",), ("R2",)], "domain string")
     return timing.domain_arrival(e, levels, seeds, pairs)
 
@@ -170,7 +170,7 @@ def transitive_fanin(spark, sf_dir):
 @query(f"{PATHS} SELECT node, string_agg(DISTINCT root, ',' ORDER BY root) AS support FROM p GROUP BY node")
 def support_sets(spark, sf_dir):
     e, levels = network(spark, sf_dir)
-    seeds = timing.sources(e).select("node", F.array("node").alias("support"))
+    seeds = timing.starts(levels).select("node", F.array("node").alias("support"))
     merge = [F.array_distinct(F.flatten(F.collect_list("support"))).alias("support")]
     s = graph.fold(e, levels, seeds, [], {"support": F.col("support")}, merge)
     return s.select("node", F.array_join(F.array_sort("support"), ",").alias("support"))
@@ -179,13 +179,13 @@ def support_sets(spark, sf_dir):
 @query(f"{PATHS} SELECT node, count(*) AS paths FROM p GROUP BY node")
 def path_counts(spark, sf_dir):
     e, levels = network(spark, sf_dir)
-    return graph.fold(e, levels, timing.sources(e).withColumn("paths", F.lit(1).cast("long")), [], {"paths": F.col("paths")}, [F.sum("paths").alias("paths")])
+    return graph.plain_fold(e, levels, timing.starts(levels).withColumn("paths", F.lit(1).cast("long")), graph.Plain("paths", "sum", 0))
 
 
 @query(f"""{PATHS}, l AS (SELECT node, max(level) AS level, count(DISTINCT root) AS tags FROM p GROUP BY node) SELECT level, sum(tags)::BIGINT AS total, min(tags) AS least, max(tags) AS most FROM l GROUP BY level""")
 def level_tag_stats(spark, sf_dir):
     e, levels = network(spark, sf_dir)
-    seeds = timing.sources(e).select("node", F.col("node").alias("domain"), F.lit(0).cast("long").alias("arrival"))
+    seeds = timing.starts(levels).select("node", F.col("node").alias("domain"), F.lit(0).cast("long").alias("arrival"))
     tags = timing.domain_arrival(e, levels, seeds).groupBy("node").agg(F.count(F.lit(1)).alias("tags"))
     return tags.join(levels, "node").groupBy("level").agg(F.sum("tags").alias("total"), F.min("tags").alias("least"), F.max("tags").alias("most"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgetide.operators.extended import Circuit, Gate
+from edgetide.staging import ship
 
 PORTS, NAMES, LATCHES, SUBCKTS = (
     "model string, port string, dir string, pos int",
@@ -75,7 +76,7 @@ def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """ports, names, latches, subckts as DataFrames; gzip by extension."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").mapInPandas(_flat, "path string, kind string, row string")
+    rows = ship(spark).read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").mapInPandas(_flat, "path string, kind string, row string")
     schemas = {"ports": PORTS, "names": NAMES, "latches": LATCHES, "subckts": SUBCKTS}
     return {k: rows.where(F.col("kind") == k).select("path", F.from_json("row", s).alias("r")).select("path", "r.*") for k, s in schemas.items()}
 

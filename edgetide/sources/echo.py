@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgetide.staging import ship
+
 SCHEMAS = {
     "tnodes": "node_id long, type string, ipin int, iblk int, domain int, is_clk_src boolean, skew double, io_delay double",
     "tedges": "src long, sink long, delay double",
@@ -80,5 +82,5 @@ def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of ``parse`` over all files of a path, each row with its file; one task reads a whole file."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").mapInPandas(_flat, "path string, kind string, row string")
+    rows = ship(spark).read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").mapInPandas(_flat, "path string, kind string, row string")
     return {k: rows.where(F.col("kind") == k).select("path", F.from_json("row", s).alias("r")).select("path", "r.*") for k, s in SCHEMAS.items()}
