@@ -5,7 +5,9 @@ For each pair of partitions a one-permutation MinHash is used whose number of bi
 of the partition and the smallest item of the other: a shingle of the document is kept as the minimum of its bin
 with a probability f, and f is set so that an item whose containment reaches the threshold keeps none of its
 shared shingles with probability ``miss`` at most. So a short item is found in a document of any length. Items
-that share a bin minimum with a document are candidates; they are verified by exact containment on full sets.
+that share a bin minimum with a document are candidates; they are verified by exact containment on full sets. An item
+of fewer words than a shingle has is one shingle of its own length; it is looked up among the document's shingles of
+that length.
 
 The items are small next to the documents; they are taken in blocks of at most ``block`` shingles, and each block's
 index is broadcast. The documents are never shuffled.
@@ -52,8 +54,16 @@ def minima(shingles: np.ndarray, bins: int) -> np.ndarray:
 class Index:
     """Sorted shingle sets of a block of items, and their bin minima for every partition of document sizes."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], num: int, den: int, miss: float):
+    def __init__(self, ids: list[int], short: list[int], sets: list[np.ndarray], num: int, den: int, miss: float):
         self.ids, self.num, self.den, self.miss = ids, num, den, miss
+        self.short = {}
+        for words in sorted(set(short) - {0}):
+            members = [i for i, k in enumerate(short) if k == words]
+            hashes = np.concatenate([sets[i] for i in members])
+            order = np.argsort(hashes, kind="stable")
+            self.short[words] = hashes[order], np.array(members)[order]
+        # short items keep their place but have no part
+        sets = [s[:0] if k else s for s, k in zip(sets, short)]
         self.size = np.array([len(s) for s in sets], np.int64)
         self.flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.at = np.r_[0, np.cumsum(self.size)]
@@ -77,6 +87,12 @@ class Index:
             self.known[part, size_class] = bins, hashes[order], owner[order]
         return self.known[part, size_class]
 
+    def search_short(self, words: int, doc: np.ndarray) -> list[tuple[int, int]]:
+        """The items of so many words among a document's sorted shingles of as many words."""
+        hashes, owner = self.short[words]
+        lo, hi = np.searchsorted(hashes, doc), np.searchsorted(hashes, doc, side="right")
+        return [(int(k), 1) for k in owner[textkit.runs(lo, hi - lo)[0]]]
+
     def search(self, doc: np.ndarray) -> list[tuple[int, int]]:
         """(item, shared shingles) for the items contained in a document, given its sorted shingle set."""
         found = []
@@ -104,7 +120,14 @@ def _sets(words: int):
         for batch in batches:
             h, low, high = textkit.words(*textkit.view(batch.column("text")))
             sets = textkit.distinct(*textkit.shingles(h, low, high, words))
-            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["item_id", "n", "shingles"])
+            # 0: long enough; else the words of a short item, whose shingle is its own
+            short = np.where(high - low < words, high - low, 0)
+            for k in range(1, words):
+                if (short == k).any():
+                    own, at = textkit.shingles(h, low, high, k)
+                    for i in np.flatnonzero(short == k):
+                        sets[i] = own[at[i] : at[i + 1]]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(short, pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["item_id", "n", "short", "shingles"])
 
     return each
 
@@ -117,22 +140,28 @@ def _search(shared_index, words: int):
             rows = []
             for lo, hi in portions(starts, ends):
                 h, low, high = textkit.words(data, starts[lo:hi], ends[lo:hi])
-                flat, at = textkit.shingles(h, low, high, words)
-                for i, doc in enumerate(textkit.distinct(flat, at)):
-                    if len(doc):
-                        rows += [(lo + i, k, shared) for k, shared in index.search(doc)]
-            at = [r[0] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array([index.ids[r[1]] for r in rows], pa.int64()), pa.array([int(index.size[r[1]]) for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())],
-                names=["doc_id", "item_id", "item_shingles", "shared"],
-            )
+                if index.parts:
+                    # a document of fewer words than a shingle holds no item of more
+                    long = high - low >= words
+                    flat, at = textkit.shingles(h, low, np.where(long, high, low), words)
+                    for i, doc in enumerate(textkit.distinct(flat, at)):
+                        if len(doc):
+                            rows += [(lo + i, k, shared) for k, shared in index.search(doc)]
+                for n in index.short:
+                    flat, at = textkit.shingles(h, low, np.where(high - low >= n, high, low), n)
+                    for i, doc in enumerate(textkit.distinct(flat, at)):
+                        rows += [(lo + i, k, shared) for k, shared in index.search_short(n, doc)]
+            at = pa.array([r[0] for r in rows], pa.int64())
+            found = {c: batch.column(c).take(at) for c in batch.schema.names if c != "text"}
+            found |= {"item_id": pa.array([index.ids[r[1]] for r in rows], pa.int64()), "item_shingles": pa.array([max(1, int(index.size[r[1]])) for r in rows], pa.int64()), "shared": pa.array([r[2] for r in rows], pa.int64())}
+            yield pa.RecordBatch.from_arrays([*found.values()], names=[*found])
 
     return each
 
 
 def item_blocks(items: DataFrame, words: int, block: int) -> Iterator[list]:
     """The items' shingle sets in blocks of at most ``block`` shingles (a larger item is a block of its own)."""
-    ready = stage(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_sets(words), "item_id long, n long, shingles binary").where("n > 0"), "items")
+    ready = stage(items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_sets(words), "item_id long, n long, short int, shingles binary").where("n > 0"), "items")
     held, total = [], 0
     for row in ready.toLocalIterator():
         if held and total + row.n > block:
@@ -144,18 +173,22 @@ def item_blocks(items: DataFrame, words: int, block: int) -> Iterator[list]:
         yield held
 
 
-def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, num: int = 4, den: int = 5, miss: float = 1e-6, block: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, words: int = 5, num: int = 4, den: int = 5, miss: float = 1e-6, block: int = 2_000_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, item_id, item_shingles, shared for every document that contains num/den of an item's shingles or more.
 
-    docs (doc_id, text) and items (item_id, text); more columns are ignored. A-Z are lower-cased and words split at
-    space and bytes 9 to 13. A text of fewer than ``words`` words has its whole sequence as its only shingle, so such
-    an item is found only in a document of the same words. Null or empty texts have no shingle and no link; an
-    empty table on either side gives no rows. Repeated rows and repeated items give a row each; null ids stay null.
+    docs (doc_id, text) and items (item_id, text); more columns are ignored, but for those of docs that ``keep`` names
+    (long ones), which come along. A-Z are lower-cased and words split at space and bytes 9 to 13. An item of fewer than
+    ``words`` words is one shingle, found wherever these words follow each other. Null or empty texts have no shingle and
+    no link; an empty table on either side gives no rows. Repeated rows and repeated items give a row each; null ids
+    stay null. A text of any length is searched whole, a portion of documents at a time.
     """
     spark = prepare(docs.sparkSession)
+    kept = "".join(f"{c} long, " for c in keep)
+    schema = FOUND.replace("doc_id long, ", f"doc_id long, {kept}")
+    side = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     out = None
     for rows in item_blocks(items, words, block):
-        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [np.frombuffer(r.shingles, np.uint64) for r in rows], num, den, miss))
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_search(index, words), FOUND)
+        index = spark.sparkContext.broadcast(Index([r.item_id for r in rows], [r.short for r in rows], [np.frombuffer(r.shingles, np.uint64) for r in rows], num, den, miss))
+        found = side.mapInArrow(_search(index, words), schema)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], FOUND)
+    return out if out is not None else spark.createDataFrame([], schema)

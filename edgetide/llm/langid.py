@@ -25,6 +25,8 @@ TRAIN_ROWS = 8_000
 BITS = 16
 ORDERS = (1, 2, 3, 4)
 SWITCH = 8.0
+#: Texts of more words are decoded in windows of so many.
+WINDOW = 1 << 16
 #: A language is a candidate in a script that holds at least this share of its words.
 SCRIPT_SHARE = 0.002
 # First code points of script ranges of the Unicode standard, and a number for each script. 0: none.
@@ -128,12 +130,25 @@ def viterbi(score: np.ndarray, low: np.ndarray, high: np.ndarray, switch: float
     n = high - low
     order = np.argsort(-n, kind="stable")
     start, length = low[order], n[order]
-    steps = int(length[0]) if len(length) else 0
-    if not steps:
+    if not len(length) or not length[0]:
         return label
+    v, come, alive = forward(score, start, length, np.zeros((len(length), score.shape[1]), np.float32), switch)
+    last = v.argmax(axis=1)
+    for t in range(int(length[0]) - 1, -1, -1):
+        k = alive[t]
+        at = start[:k] + t
+        label[at] = last[:k]
+        back = come[at, last[:k]]
+        last[:k] = np.where(back >= 0, back, last[:k])
+    return label
+
+
+def forward(score: np.ndarray, start: np.ndarray, length: np.ndarray, v: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best sums at the end of each text; for each word the language before it where that is another (else -1); and how
+    many texts, longest first, have a word at each step."""
+    steps = int(length[0])
     alive = np.searchsorted(-length, -np.arange(steps), side="left")
     come = np.full(score.shape, -1, np.int16)
-    v = np.zeros((len(length), score.shape[1]), np.float32)
     for t in range(steps):
         k = alive[t]
         at = start[:k] + t
@@ -146,13 +161,38 @@ def viterbi(score: np.ndarray, low: np.ndarray, high: np.ndarray, switch: float
         v[:k] += score[at]
         if t % 256 == 255:
             v[:k] -= v[:k].max(axis=1, keepdims=True)
-    last = v.argmax(axis=1)
-    for t in range(steps - 1, -1, -1):
-        k = alive[t]
-        at = start[:k] + t
-        label[at] = last[:k]
-        back = come[at, last[:k]]
-        last[:k] = np.where(back >= 0, back, last[:k])
+    return v, come, alive
+
+
+def viterbi_windows(scores, n: int, languages: int, window: int = 0, switch: float = SWITCH) -> np.ndarray:
+    """The same for one long text of n words, whose scores(a, b) are worked out a window at a time.
+
+    Where every other language comes from one and the same, all paths before that word end in it, whatever follows: the
+    words before are settled, and the next window begins there, all others ``switch`` behind. A window without such a
+    word is made longer.
+    """
+    label, at, width = np.zeros(n, np.int16), 0, window or WINDOW
+    v = np.zeros((1, languages), np.float32)
+    while at < n:
+        to = min(n, at + width)
+        end, come, _ = forward(scores(at, to), np.zeros(1, np.int64), np.array([to - at]), v.copy(), switch)
+        stop, last = to - at, int(end[0].argmax())
+        if to < n:
+            one = (come >= 0).sum(axis=1) == languages - 1
+            one[0] = False
+            joined = np.flatnonzero(one) if languages > 1 else np.arange(1, stop)
+            if not len(joined):
+                width *= 2
+                continue
+            stop = int(joined[-1])
+            last = int(np.flatnonzero(come[stop] < 0)[0])
+            v = np.full((1, languages), -switch, np.float32)
+            v[0, last] = 0
+        for t in range(stop - 1, -1, -1):
+            label[at + t] = last
+            if come[t, last] >= 0:
+                last = int(come[t, last])
+        at, width = at + stop, window or WINDOW
     return label
 
 
@@ -210,41 +250,46 @@ def _has_letter(data: np.ndarray, start: int, end: int) -> bool:
 def _detect(shared, spans: bool):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        names = model.languages
+        names, width = model.languages, max(1, len(model.languages))
+
+        def labelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+            """Language, share of letters and spans of each text of a portion."""
+            _, low, high, begin, end = textkit.words(data, starts, ends, textkit.ALPHA, places=True)
+            if not names:
+                label = np.zeros(len(begin), np.int16)
+            elif len(starts) == 1 and len(begin) > WINDOW:
+                label = viterbi_windows(lambda a, b: word_scores(model, data, begin[a:b], end[a:b]), len(begin), width)
+            else:
+                label = viterbi(word_scores(model, data, begin, end), low, high)
+            # letters are code points: bytes that don't continue one
+            if len(begin):
+                first, past = int(begin[0]), int(end[-1])
+                upto = np.r_[0, np.cumsum((data[first:past] & 0xC0) != 0x80)]
+                letters = upto[end - first] - upto[begin - first]
+            else:
+                letters = np.zeros(0, np.int64)
+            row = np.repeat(np.arange(len(starts)), high - low)
+            votes = np.bincount(row * width + label, letters, minlength=len(starts) * width).reshape(len(starts), width)
+            best, share = votes.argmax(axis=1), votes.max(axis=1) / np.maximum(votes.sum(axis=1), 1)
+            clear = [bool(names) and high[i] > low[i] and _has_letter(data, int(starts[i]), int(ends[i])) for i in range(len(starts))]
+            found = []
+            for i in range(len(starts) if spans else 0):
+                here = label[low[i] : high[i]]
+                cut = np.flatnonzero(np.r_[True, here[1:] != here[:-1]]) if len(here) and clear[i] else np.zeros(0, int)
+                stop = np.r_[cut[1:], len(here)] if len(cut) else cut
+                found.append([{"start": int(begin[low[i] + a] - starts[i]), "end": int(end[low[i] + b - 1] - starts[i]), "lang": names[here[a]]} for a, b in zip(cut, stop)])
+            return [names[b] if c else "und" for b, c in zip(best, clear)], np.where(clear, share, 0.0), found
+
         for batch in batches:
             data, starts, ends = textkit.view(batch.column("text"))
-            n = batch.num_rows
-            lows, highs, scores, sizes, places = [], [], [], [], []
-            total = 0
-            for lo, hi in portions(starts, ends):
-                _, low, high, begin, end = textkit.words(data, starts[lo:hi], ends[lo:hi], textkit.ALPHA, places=True)
-                lows.append(low + total)
-                highs.append(high + total)
-                scores.append(word_scores(model, data, begin, end) if names else np.zeros((len(begin), 1), np.float32))
-                sizes.append((end - begin).astype(np.int32))
-                if spans:
-                    places.append((begin, end))
-                total += len(begin)
-            low, high = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lows, highs))
-            score, size = (np.concatenate(scores), np.concatenate(sizes)) if scores else (np.zeros((0, 1), np.float32), np.zeros(0, np.int32))
-            label = viterbi(score, low, high)
-            width = max(1, len(names))
-            row = np.repeat(np.arange(n), high - low)
-            votes = np.bincount(row * width + label, size, minlength=n * width).reshape(n, width)
-            best = votes.argmax(axis=1)
-            share = votes.max(axis=1) / np.maximum(votes.sum(axis=1), 1)
-            clear = np.array([bool(names) and high[i] > low[i] and _has_letter(data, int(starts[i]), int(ends[i])) for i in range(n)], bool)
-            out = [*batch.columns, pa.array([names[b] if c else "und" for b, c in zip(best, clear)]), pa.array(np.where(clear, share, 0.0))]
-            columns = [*batch.schema.names, "lang_pred", "lang_score"]
+            langs, shares, found = [], [np.zeros(0)], []
+            for lo, hi in portions(starts, ends, 8 << 20):
+                a, b, c = labelled(data, starts[lo:hi], ends[lo:hi])
+                langs += a
+                shares.append(b)
+                found += c
+            out, columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(shares))], [*batch.schema.names, "lang_pred", "lang_score"]
             if spans:
-                begin = np.concatenate([p[0] for p in places]) if places else np.zeros(0, np.int64)
-                end = np.concatenate([p[1] for p in places]) if places else np.zeros(0, np.int64)
-                found = []
-                for i in range(n):
-                    here = label[low[i] : high[i]]
-                    cut = np.flatnonzero(np.r_[True, here[1:] != here[:-1]]) if len(here) and clear[i] else np.zeros(0, int)
-                    stop = np.r_[cut[1:], len(here)] if len(cut) else cut
-                    found.append([{"start": int(begin[low[i] + a] - starts[i]), "end": int(end[low[i] + b - 1] - starts[i]), "lang": names[here[a]]} for a, b in zip(cut, stop)])
                 out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))))
                 columns.append("spans")
             yield pa.RecordBatch.from_arrays(out, names=columns)
@@ -255,9 +300,11 @@ def _detect(shared, spans: bool):
 def detect(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     """docs (text and any columns) with lang_pred, lang_score and, if asked, spans (byte start, byte end, lang) added.
 
-    The whole text is labelled. lang_pred is ``und`` with score 0 where the text is null or has no letter, and where the
+    The whole text is labelled, a long one a window of words at a time with the same result. Columns of docs called
+    lang_pred, lang_score or spans are replaced. Rows are handled one by one: repeated rows get the same result, and an
+    empty table gives an empty one. lang_pred is ``und`` with score 0 where the text is null or has no letter, and where the
     model has no language; else a language of the model, ties going to the first by name. lang_score is the
-    share of letters in spans of that language.
+    share of letters (code points) in spans of that language.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)

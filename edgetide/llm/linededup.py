@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from edgetide.llm.components import components
 from edgetide.llm.runtime import lookup, prepare, stage
 
-#: Lines of fewer characters, after trimming, have exact copies only: they are not compared with near copies.
+#: Lines of fewer characters, after trimming, have exact copies only: edits in so short a line make another line.
 LEAST = 40
 EDITS = 2
 #: One line in so many is looked at for keys that many lines share.
@@ -234,7 +234,9 @@ def links_in_crowds(lines: DataFrame, edits: int, segments: int) -> DataFrame:
     lowest = F.zip_with(F.zip_with(changed, "free", lambda c, f: F.when(c, -1).otherwise(f)), F.sequence(F.lit(0), F.lit(edits - 1)), lambda f, r: (f == -1) | (f == r))
     once = F.forall(lowest, lambda x: x) | F.forall(changed, lambda c: ~c)
     left, right = fine(False).alias("l"), fine(True).alias("r")
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("h1") != F.col("g1")) & once & verified("left", "right", edits))
+    # few keys carry most of the work, so they are dealt over a number of tasks of their own
+    tasks = max(lines.sparkSession.sparkContext.defaultParallelism * 4, 64)
+    met = left.repartition(tasks, "key").alias("l").join(right.repartition(tasks, "key").alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("h1") != F.col("g1")) & once & verified("left", "right", edits))
     swap = F.col("h1") > F.col("g1")
     return met.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("h1", "g1"), ("h2", "g2"), ("g1", "h1"), ("g2", "h2"))])
 
@@ -273,8 +275,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Data
     """One row per line that takes part: doc_id, line_no (from 0), class_doc_id, class_line_no, n_links, kept.
 
     docs (doc_id, text; more columns are ignored). Lines that are not blank take part; those of fewer than ``least``
-    characters after trimming have no links. Equal lines, and lines that a chain of pairs within ``edits`` edits joins, are a class; its first line, by doc_id (null
-    last), then text, then line number, is kept. n_links is the number of different texts within ``edits``. Rows with
+    characters after trimming have exact copies only and no links. Equal lines, and lines that a chain of pairs within
+    ``edits`` edits joins, are a class; its first line, by doc_id (null last), then text, then line number, is kept. n_links is the number of different texts within ``edits``. Rows with
     the same doc_id and text are one document: their lines get the same result. Null and empty texts have no
     lines; empty tables give empty tables.
     """
@@ -297,17 +299,20 @@ def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST)
     flags = rows.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_set(F.struct("line_no", "stays")).alias("f"), F.min("stays").alias("whole"))
     flags = flags.where(~F.col("whole")).select("d", "k", F.transform(F.array_sort("f"), lambda x: x["stays"]).alias("stays"))
     flags = stage(flags, "line-flags")
-    # flags grow with the texts, so this side is never broadcast by its row count
-    joined = docs.withColumn("_k", text_key()).join(flags, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_k") == F.col("k")), "left")
-    cleaned = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: F.coalesce(F.get("stays", i), F.lit(True))), "\n")
-    joined = joined.withColumn("_new", F.when(F.col("stays").isNotNull(), cleaned).otherwise(F.col("text")))
-    joined = joined.where(F.col("stays").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
+    # documents travel as one struct, so their columns may have any names; flags grow with the texts, so this side is
+    # never broadcast by its row count
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document")
+    joined = docs.select(whole, F.col("doc_id").alias("id"), text_key().alias("key")).join(flags, F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    old = F.col("document")["text"]
+    cleaned = F.array_join(F.filter(F.split(old, "\n"), lambda x, i: F.coalesce(F.get("stays", i), F.lit(True))), "\n")
+    joined = joined.withColumn("new", F.when(F.col("stays").isNotNull(), cleaned).otherwise(old))
+    joined = joined.where(F.col("stays").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
     out = []
     for c in docs.columns:
+        value = F.col("document")[c]
         if c == "text":
-            out.append(F.col("_new").alias("text"))
+            value = F.col("new")
         elif c == "n_chars":
-            out.append(F.when(F.col("stays").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
+            value = F.when(F.col("stays").isNotNull(), F.length("new").cast(docs.schema[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
     return joined.select(*out)

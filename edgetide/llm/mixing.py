@@ -1,7 +1,8 @@
 """Mixing sources to target weights: Pareto order sampling of documents.
 
 Each source has a target amount of words. A document's expected number of copies is its source's target over its
-source's size (times a weight, if given). Whole copies are certain and are allocated first. What is left of the
+source's size; with weights it is a rate of the source times the document's weight, ``cap`` at most, and the rate is such
+that the expected words of the source are its target. Whole copies are certain and are allocated first. What is left of the
 expectation is an inclusion probability p; documents are ranked by Pareto's q = (u / (1 - u)) / (p / (1 - p)), u a
 uniform number from a hash of the document, and are taken in that order until the source's amount is met.
 
@@ -23,9 +24,10 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def uniform(key: Column, seed: int) -> Column:
-    """A number in (0, 1) from 52 bits of the MD5 of seed and key."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null"))))
+def uniform(seed: int) -> Column:
+    """A number in (0, 1) from 52 bits of the MD5 of seed and doc_id, or of the text where that is null."""
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -51,20 +53,44 @@ def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     return w.select("source", "source_size", target.alias("target"))
 
 
+def rates(sized: DataFrame, plan: DataFrame, cap: float, rounds: int = 100) -> DataFrame:
+    """plan (p_source, source_size, target) with ``rate``: expected copies are least(cap, rate * w) and add up to the target.
+
+    Documents that the rate fills up to ``cap`` leave the rest of the target to the others, so the rate grows until no
+    more fill up; each round is one aggregation by source. A source that can't reach its target is filled up whole.
+    """
+    same = F.col("source").eqNullSafe(F.col("p_source"))
+    plan = plan.withColumn("rate", F.lit(0.0)).withColumn("full", F.lit(-1).cast("long"))
+    for _ in range(rounds):
+        d = sized.join(lookup(plan), same)
+        full = (F.col("rate") * F.col("w") >= cap) & (F.col("w") > 0)
+        sums = d.where("size > 0").groupBy("p_source").agg(F.sum(F.when(full, F.col("size")).otherwise(0)).alias("filled"), F.sum(F.when(~full, F.col("size") * F.col("w")).otherwise(0.0)).alias("open"), F.count_if(full).alias("n_full"))
+        sums = sums.select(F.col("p_source").alias("q_source"), "filled", "open", "n_full")
+        rate = F.when(F.col("open") > 0, F.greatest(F.lit(0.0), F.col("target") - cap * F.col("filled")) / F.col("open")).otherwise(F.col("rate"))
+        new = plan.join(sums, F.col("p_source").eqNullSafe(F.col("q_source")), "left")
+        new = new.select("p_source", "source_size", "target", F.greatest("rate", F.coalesce(rate, F.lit(0.0))).alias("rate"), F.coalesce("n_full", F.lit(0)).alias("now"), "full")
+        plan = stage(new.select("p_source", "source_size", "target", "rate", F.col("now").alias("full"), (F.col("now") == F.col("full")).alias("settled")), "mix-rates")
+        if plan.where("not settled").isEmpty():
+            break
+    return plan.select("p_source", "source_size", "target", "rate")
+
+
 def pareto_mix(docs: DataFrame, targets: DataFrame | None = None, weight: str | None = None, cap: int = 3, seed: int = 1) -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
 
     docs (doc_id, text, source; more columns are ignored). size is the number of words (null text: 0). ``targets``
     (source, target) gives words wanted of each source; without it, source_targets does. ``weight`` names a column of
-    docs that multiplies a document's expected copies. No document is taken more than ``cap`` times. The amount
+    docs in proportion to which documents of a source are expected (null, not finite or below zero: 0). No document is
+    taken more than ``cap`` times. The amount
     taken of a source misses its target by half a document at the cut at most, unless its documents at ``cap``
     copies hold less. Documents without words are never taken. Null sources are one source. Rows with the same doc_id
-    have the same u; ties in rank are ordered by doc_id and size, so equal rows may differ in copies but the set of
-    rows is the same in every run. Empty tables give empty tables.
+    have the same u, and rows without one have that of their text; ties in rank are ordered by doc_id and size, so equal
+    rows may differ in copies but the set of rows is the same in every run. Empty tables give empty tables.
     """
     prepare(docs.sparkSession)
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    sized = stage(docs.select("doc_id", "source", word_count("text").alias("size"), w.alias("w")), "mix-sizes")
+    given = F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)
+    w = F.when((given > 0) & (given < float("inf")), given).otherwise(0.0)
+    sized = stage(docs.select("doc_id", "source", word_count("text").alias("size"), w.alias("w"), uniform(seed).alias("u")), "mix-sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if targets is None:
         plan = source_targets(sizes, cap)
@@ -72,10 +98,14 @@ def pareto_mix(docs: DataFrame, targets: DataFrame | None = None, weight: str |
         t = targets.select(F.col("source").alias("s"), F.col("target").cast("double").alias("target"))
         plan = sizes.join(t, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
     plan = stage(plan.select(F.col("source").alias("p_source"), "source_size", "target"), "mix-targets")
+    if weight:
+        rated = rates(sized, plan, float(cap))
+    else:
+        rated = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     same = F.col("source").eqNullSafe(F.col("p_source"))
-    d = sized.join(lookup(plan), same).drop("p_source")
-    expected = F.least(F.lit(float(cap)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("w"))
-    d = d.withColumn("sure", F.floor(expected)).withColumn("p", expected - F.floor(expected)).withColumn("u", uniform(F.col("doc_id"), seed))
+    d = sized.join(lookup(rated), same).drop("p_source")
+    expected = F.least(F.lit(float(cap)), F.col("rate") * F.col("w"))
+    d = d.withColumn("sure", F.floor(expected)).withColumn("p", expected - F.floor(expected))
     odds = F.col("u") / (1 - F.col("u"))
     d = d.withColumn("q", F.when(F.col("p") > 0, odds / (F.col("p") / (1 - F.col("p")))).otherwise(odds * 1e18))
     open_ = (F.col("sure") < cap) & (F.col("size") > 0)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from edgetide.llm import textkit
 from edgetide.llm.components import components
-from edgetide.llm.runtime import BROADCAST_ROWS, at_most, lookup, prepare, stage
+from edgetide.llm.runtime import fits, lookup, prepare, stage, text_keys
 
 TOKENS = 128
 #: Sketch links are taken from this many standard deviations of the estimate below the threshold.
@@ -81,8 +81,9 @@ def portions(starts: np.ndarray, ends: np.ndarray, size: int = 2 << 20) -> Itera
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (fa, fb) and minwise tokens of every row."""
-    return docs.select("doc_id", "text").mapInArrow(_profile(k, False), "doc_id long, n_shingles long, fa long, fb long, tokens binary, sketch binary")
+    """doc_id, keys of the text (t1, t2), n_shingles, fingerprint (fa, fb) and minwise tokens of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text")
+    return rows.mapInArrow(_profile(k, False), "doc_id long, t1 long, t2 long, n_shingles long, fa long, fb long, tokens binary, sketch binary")
 
 
 # --- trees -------------------------------------------------------------------------------------------------
@@ -322,10 +323,11 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
     members, each pair of blocks a task of its own. Rows are never brought together by a large group's key.
     """
     sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "group-sizes")
-    known = members.join(lookup(sizes), "grp")
+    known = members.hint("merge").join(sizes, "grp")
     small = known.where(F.col("size") <= limit)
     if "payload" not in members.columns:
-        small = small.join(payloads, "vid")
+        # payloads are wide and grow with the input: shuffled at every size, never broadcast
+        small = small.hint("merge").join(payloads, "vid")
     small = small.select("grp", "vid", "payload").repartition("grp").sortWithinPartitions("grp", "vid")
     edges = [stage(small.mapInArrow(_within(compare, "grp"), EDGE), "links-small")]
     large = known.where(F.col("size") > limit).select("grp", "vid")
@@ -335,7 +337,8 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
         for _ in range(stars):
             pivots = rest.groupBy("grp").agg(F.min("vid").alias("pivot"))
             pivots = stage(pivots.join(payloads.select(F.col("vid").alias("pivot"), F.col("payload").alias("pivot_payload")), "pivot"), "group-pivots")
-            pairs = rest.join(payloads, "vid").join(lookup(pivots, 2000), "grp")
+            side = F.broadcast(pivots) if fits(pivots, "pivot_payload", 2000) else pivots
+            pairs = rest.hint("merge").join(payloads, "vid").join(side, "grp")
             seen = stage(pairs.select("grp", "vid", "pivot", "payload", "pivot_payload").mapInArrow(_star(compare), "grp long, vid long, pivot long, linked boolean"), "group-stars")
             edges.append(seen.where("linked and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")))
             rest = seen.where("not linked").select("grp", "vid")
@@ -363,55 +366,66 @@ def candidate_groups(classes: DataFrame, least: int, trees: int, picks: int, lea
     members = None
     for level in range(depth):
         sizes = stage(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above")).where("size > 1"), "tree-sizes")
-        now = rows.select("node", "vid").join(lookup(sizes), "node")
+        now = rows.select("node", "vid").hint("merge").join(sizes, "node")
         # a node that keeps over half of the node above it is dense: going on down would not take it apart
         ends = (F.col("size") <= leaf) | ((F.col("size") * 2 > F.col("above")) if level else F.lit(False)) | F.lit(level == depth - 1)
         found = now.where(ends).select(F.col("node").alias("grp"), "vid")
         members = found if members is None else members.unionByName(found)
         if level == depth - 1 or sizes.where(~ends).isEmpty():
             break
-        deeper = now.where(~ends).join(classes.select("vid", "tokens"), "vid").select("node", "vid", "size", "tokens")
+        deeper = now.where(~ends).hint("merge").join(classes.select("vid", "tokens"), "vid").select("node", "vid", "size", "tokens")
         rows = stage(deeper.mapInArrow(_branch(picks), "node long, vid long, above long"), "tree-level")
     members = stage(members, "tree-leaves")
     return stage(components(link_groups(members, classes.select("vid", F.col("sketch").alias("payload")), Sketches(least), leaf)), "candidate-groups")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, trees: int = 4, picks: int = 2, leaf: int = 512, depth: int = 12) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; more columns are ignored): doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text; more columns are ignored): doc_id, n_shingles, component_id, kept, t1, t2, first.
 
     Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles (A-Z lower-cased, split
     at space and bytes 9 to 13) is num/den or more; component_id is the smallest doc_id reachable. A text of fewer
     words has its whole sequence as one shingle; a null or empty text has none and is linked with nothing, so it
     stands alone under its own doc_id. Rows with the same set are always linked, also with the same doc_id. Rows
-    whose doc_id is null have a component but never name one, unless no doc_id in it is known. An empty table
-    gives an empty table. ``trees`` and ``picks`` set the recall: at 0.8 a linked pair is missed with probability
-    0.0625 in a tree, 1.5e-5 in four; links that other links join by another way do not matter.
+    whose doc_id is null have a component but never name one, unless no doc_id in it is known. t1 and t2 are a key of the
+    text; ``first`` says whether a row is the first of its component by doc_id (null last), then that key, which is so for
+    one row of every component, or for identical rows alone. An empty table gives an empty table. ``trees`` and ``picks``
+    set the recall: at 0.8 a linked pair is missed with probability 0.0625 in a tree, 1.5e-5 in four; links that other
+    links join by another way do not matter.
     """
     prepare(docs.sparkSession)
     seen = stage(profiles(docs, words), "profiles")
     key = ["fa", "fb", "n_shingles"]
-    named = seen.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("label"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t1", "t2")
+    named = seen.where("n_shingles > 0").groupBy(*key).agg(F.min(place).alias("label"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     classes = stage(named.withColumn("vid", F.monotonically_increasing_id()), "classes")
     groups = candidate_groups(classes, floor_of(num, den), trees, picks, leaf, depth)
-    sets = stage(_sets(docs, classes.select("vid", "label", *key), groups, words), "sets")
+    sets = stage(_sets(docs, classes.select("vid", "label", "copies", *key), groups, words, seen), "sets")
     links = link_groups(sets, sets.select("vid", "payload"), Sets(num, den), leaf)
     tied = stage(components(links), "components").withColumnRenamed("id", "vid")
     tied = tied.join(classes.select("vid", *key, "label"), "vid")
-    roots = tied.groupBy("root").agg(F.min("label").alias("component_id"))
-    joined = tied.join(stage(roots, "roots"), "root").select(*key, "component_id")
-    alone = classes.where("copies > 1").select("vid", *key, F.col("label").alias("component_id")).join(tied.select("vid"), "vid", "left_anti").drop("vid")
+    roots = tied.groupBy("root").agg(F.min("label").alias("head"))
+    joined = tied.join(stage(roots, "roots"), "root").select(*key, "head")
+    alone = classes.where("copies > 1").select("vid", *key, F.col("label").alias("head")).join(tied.select("vid"), "vid", "left_anti").drop("vid")
     named = stage(joined.unionByName(alone), "named")
-    out = seen.select("doc_id", *key).join(lookup(named), key, "left")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    out = seen.select("doc_id", "t1", "t2", *key).join(lookup(named), key, "left")
+    own = F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    first = F.col("head").isNull() | F.col("head").eqNullSafe(place)
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "t1", "t2", first.alias("first"))
 
 
-def _sets(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int) -> DataFrame:
-    """Group and full shingle set of the classes that have a candidate, read again from one document of each."""
+def _sets(docs: DataFrame, classes: DataFrame, groups: DataFrame, words: int, seen: DataFrame) -> DataFrame:
+    """Group and full shingle set of the classes that have a candidate, read again from one document of each.
+
+    That document is met by its doc_id and the key of its text, so neither an id that repeats nor a text that does
+    brings rows together; identical rows, if there are any, are made one.
+    """
     need = stage(groups.withColumnRenamed("id", "vid").join(classes, "vid"), "needed")
     need = need.select(F.col("root").alias("grp"), "vid", "label", F.col("n_shingles").alias("n"), F.col("fa").alias("ga"), F.col("fb").alias("gb"))
-    side = F.broadcast(need) if at_most(need, BROADCAST_ROWS) else need
-    rows = docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("label")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("label.doc_id")) & (F.col("t1") == F.col("label.t1")) & (F.col("t2") == F.col("label.t2"))
+    rows = rows.join(lookup(need), same)
     kept = "grp long, vid long, n long, ga long, gb long"
     full = rows.select("grp", "vid", "n", "ga", "gb", "text").mapInArrow(_profile(words, True), f"{kept}, n_shingles long, fa long, fb long, payload binary")
-    return full.where("n = n_shingles and fa = ga and fb = gb").select("grp", "vid", "payload")
+    full = full.where("n = n_shingles and fa = ga and fb = gb").select("grp", "vid", "payload")
+    repeated = seen.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return full if repeated.isEmpty() else full.dropDuplicates(["vid"])

@@ -3,7 +3,7 @@
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT"
 
 MIXING = rf"""
-WITH RECURSIVE d AS (SELECT doc_id, source, {_WORDS} AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, source, {_WORDS} AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
 r AS (SELECT *, 3.0::DOUBLE * source_size AS room, 3.0::DOUBLE * source_size / weight AS fills FROM w),
@@ -14,7 +14,7 @@ l AS (SELECT *, max(CASE WHEN fills >= (total - before) / left_ THEN (total - be
 t AS (SELECT source, source_size, CASE WHEN level IS NULL THEN room ELSE least(room, level * weight) END AS target FROM l),
 e AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
   least(3.0::DOUBLE, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END) AS x,
-  (('0x' || substr(md5('1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  (('0x' || substr(md5('1:' || coalesce(d.doc_id::VARCHAR, 'null:' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 f AS (SELECT *, floor(x) AS sure, x - floor(x) AS p FROM e),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) ELSE u / (1 - u) * 1e18 END AS rank_,
@@ -32,14 +32,16 @@ WITH words AS (
   SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
   UNION ALL
   SELECT 'b', row_number() OVER (), item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
-shingles AS (SELECT DISTINCT side, r, id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
-  FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT side, r, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+  FROM words WHERE len(w) >= 5),
 n AS (SELECT r, count(*) AS item_shingles FROM shingles WHERE side = 'b' GROUP BY r)
 SELECT d.id AS doc_id, b.id AS item_id, n.item_shingles::BIGINT AS item_shingles, count(*)::BIGINT AS shared
 FROM shingles b JOIN shingles d ON d.s = b.s AND d.side = 'd' JOIN n ON n.r = b.r
 WHERE b.side = 'b'
 GROUP BY d.r, b.r, d.id, b.id, n.item_shingles HAVING 5 * count(*) >= 4 * n.item_shingles
+UNION ALL
+SELECT d.id, b.id, 1, 1 FROM words b JOIN words d ON contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')
+WHERE b.side = 'b' AND d.side = 'd' AND len(b.w) BETWEEN 1 AND 4
 """
 
 WARC = r"""
@@ -78,13 +80,12 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS co
 """
 
 LINE_DEDUP = r"""
-WITH RECURSIVE pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line_no FROM documents WHERE length(text) >= 40),
+WITH RECURSIVE pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS line_no FROM documents),
 lines AS (SELECT doc_id, line_no, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM pieces),
-l AS (SELECT * FROM lines WHERE length(line) >= 40),
+l AS (SELECT * FROM lines WHERE length(line) > 0),
 u AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM l)),
 pairs AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.id <> b.id
-
-  WHERE levenshtein(a.line, b.line) <= 2),
+  WHERE a.n >= 40 AND b.n >= 40 AND levenshtein(a.line, b.line) <= 2),
 reach AS (SELECT id AS a, id AS b FROM u UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON pairs.a = reach.b),
 root AS (SELECT a AS id, min(b) AS root FROM reach GROUP BY a),
 deg AS (SELECT a AS id, count(*) AS n_links FROM pairs GROUP BY a),

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from edgetide.llm import textkit
 from edgetide.llm.neardup import portions
-from edgetide.llm.runtime import and_double, bounded_sample, prepare
+from edgetide.llm.runtime import and_double, bounded_rows, bounded_sample, prepare
 
 #: Documents of each kind (positive, unlabelled) that a model is fitted on at most (about).
 TRAIN_ROWS = 12_000
@@ -190,13 +190,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 
     The class prior is estimated from the two samples unless given. Documents labelled 0 are unlabelled text like all
     others. Several labels of a document count as their minimum; null labels and ids don't count. About
-    ``bound`` documents of each kind at most are used. Without positives or texts the model scores 0.5 everywhere.
+    ``bound`` documents of each kind at most are used, also where ids repeat. Without positives or texts the model scores 0.5 everywhere.
     """
     prepare(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.min(label) > 0).alias("good"))
     positives = bounded_sample(known.where("good").select("doc_id"), "doc_id", bound, 51)
-    web = bounded_sample(docs.where("doc_id is not null").select("doc_id", "text"), "doc_id", bound, 52).select("doc_id", "text", F.lit(0).alias("kind"))
-    trusted = docs.select("doc_id", "text").join(F.broadcast(positives), "doc_id").select("doc_id", "text", F.lit(1).alias("kind"))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    web = bounded_rows(bounded_sample(texts, "doc_id", bound, 52), 2 * bound, 53).select("doc_id", "text", F.lit(0).alias("kind"))
+    trusted = bounded_rows(texts.join(F.broadcast(positives), "doc_id").select("doc_id", "text"), 2 * bound, 54).select("doc_id", "text", F.lit(1).alias("kind"))
     rows = web.unionByName(trusted).mapInArrow(_rows, "doc_id long, kind int, x binary").collect()
     rows.sort(key=lambda r: (r["kind"], r["doc_id"], r["x"]))
     x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(len(rows), len(STATISTICS))
@@ -215,9 +216,11 @@ def _score(shared):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of docs with quality_score, a double from 0 to 1, added. A null text counts as empty.
+    """All rows and columns of docs with quality_score, a double from 0 to 1, added.
 
-    A column of docs that is called quality_score is replaced.
+    A null text counts as empty; whole texts are read, in portions of bounded size, and a longer text alone. Rows are
+    handled one by one: repeated rows and ties get the same score, and an empty table gives an empty one. A column of
+    docs that is called quality_score is replaced; others may have any names.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.drop("quality_score")

@@ -59,7 +59,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    vectors = topk.numbered(topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
     return topk.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5)
 
 
@@ -74,7 +74,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_source_mixing, op3_line_dedup, op4_decontamination, op5_quality, op6_warc, op7_exact_topk, op8_toxicity, op9_pii, op10_near_dedup)}

@@ -74,6 +74,17 @@ def lookup(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def fits(df: DataFrame, column: str, rows: int, size: int = 32 << 20) -> bool:
+    """Has ``df`` (staged) at most so many rows, whose binary ``column`` is at most ``size`` bytes in all?"""
+    return at_most(df, rows) and (df.agg(F.sum(F.octet_length(column))).first()[0] or 0) <= size
+
+
+def text_keys() -> list[Column]:
+    """128 bits that tell texts apart; null counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
 def remainder(key: str, modulus: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % F.lit(modulus)
 
@@ -87,5 +98,17 @@ def bounded_sample(df: DataFrame, key: str, bound: int, salt: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 40)) < F.lit(cut))
 
 
+def bounded_rows(df: DataFrame, bound: int, salt: int) -> DataFrame:
+    """About ``bound`` rows of (doc_id, text, ...) at most, chosen by a hash of id and text, so that neither an id nor a
+    text that repeats comes in whole beyond its share; identical rows count once where the bound is passed."""
+    n = df.count()
+    if n <= bound:
+        return df
+    once = df.dropDuplicates(["doc_id", "text"])
+    n = once.count()
+    cut = int(min(1.0, bound / n) * (1 << 40))
+    return once.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id", "text"), F.lit(1 << 40)) < F.lit(cut))
+
+
 def and_double(schema: T.StructType, name: str) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(name, T.DoubleType())])

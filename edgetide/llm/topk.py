@@ -6,9 +6,12 @@ the larger of weight * largest and weight * smallest bounds every score in the b
 order of that bound, scores a block's vectors from the forward index, and stops at the first block whose bound is
 below its k-th best score so far; a block that equals it is still visited, for ties go to the smaller id.
 
-Queries are taken in blocks of at most ``query_block`` rows; each is broadcast to the shards in turn. A shard is
-what one Arrow stream of a task holds, at most ``shard`` vectors at a time. A shard returns k rows a query, and
-those are merged by an aggregation.
+Queries are taken in blocks of at most ``query_block`` rows; each is broadcast to the shards in turn. A task takes its
+vectors ``shard`` at a time and carries each query's k best from one to the next, so that later ones are pruned by them;
+it returns k rows a query, and those are merged by a window over the query's row.
+
+Scores are exact: where products of the rows' largest values could leave the whole numbers that doubles hold, those rows
+alone are multiplied as Python integers.
 """
 
 from __future__ import annotations
@@ -35,18 +38,24 @@ def quantised(vectors: DataFrame, key: str, column: str, scale: int = 256) -> Da
     return vectors.where(whole).select(F.col(key).cast("long").alias("id"), F.transform(x, floor).alias("vector"))
 
 
-def matrix(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and a dense matrix; shorter vectors are filled up with zeros."""
-    ids = np.concatenate([b.column("id").to_numpy(zero_copy_only=False) for b in batches])
+def numbered(vectors: DataFrame) -> DataFrame:
+    """vectors (id, vector), staged, with ``row``, which tells rows of one id apart."""
+    prepare(vectors.sparkSession)
+    return stage(vectors.where("id is not null").select("id", "vector").withColumn("row", F.monotonically_increasing_id()), "vectors")
+
+
+def matrix(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, rows and a dense matrix; shorter vectors are filled up with zeros."""
+    ids, rows = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in batches]) for c in ("id", "row"))
     lists = [b.column("vector") for b in batches]
     lengths = np.concatenate([np.diff(x.offsets.to_numpy()) for x in lists]) if lists else np.zeros(0, int)
     flat = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in lists])
     width = int(lengths.max()) if len(lengths) else 0
     if width and (lengths == width).all():
-        return ids, flat.reshape(-1, width)
+        return ids, rows, flat.reshape(-1, width)
     out = np.zeros((len(ids), width))
     out[np.arange(width)[None, :] < lengths[:, None]] = flat
-    return ids, out
+    return ids, rows, out
 
 
 def wider(x: np.ndarray, width: int) -> np.ndarray:
@@ -56,9 +65,9 @@ def wider(x: np.ndarray, width: int) -> np.ndarray:
 class Blocks:
     """Forward indexes and term bounds of the blocks of a shard."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, size: int):
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, vectors: np.ndarray, size: int):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, self.size = ids[order], vectors[order], size
+        self.ids, self.rows, self.vectors, self.size = ids[order], rows[order], vectors[order], size
         first = np.arange(0, len(ids), size)
         self.first = np.r_[first, len(ids)]
         self.most, self.least = np.maximum.reduceat(self.vectors, first, axis=0), np.minimum.reduceat(self.vectors, first, axis=0)
@@ -68,10 +77,10 @@ class Blocks:
         return up @ self.most.T + down @ self.least.T
 
 
-def search(q_ids: np.ndarray, q: np.ndarray, blocks: Blocks, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores (queries x k, best first, -inf where there are fewer) and ids of the best rows of the shard, self left out."""
-    n = len(q_ids)
-    best, who = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+def search(q_rows: np.ndarray, q: np.ndarray, blocks: Blocks, best: np.ndarray, who: np.ndarray) -> int:
+    """Bring in the best rows of a shard, self left out: scores (queries x k, best first, -inf where there are fewer) and
+    ids. Returns how many pairs of a query and a block were scored."""
+    n, k, scored = len(q_rows), best.shape[1], 0
     bounds = blocks.bounds(q)
     order = np.argsort(-bounds, axis=1, kind="stable")
     ranked = np.take_along_axis(bounds, order, 1)
@@ -88,8 +97,9 @@ def search(q_ids: np.ndarray, q: np.ndarray, blocks: Blocks, k: int) -> tuple[np
             b, mine = int(block[by[s]]), active[row[by[s:e]]]
             lo, hi = blocks.first[b], blocks.first[b + 1]
             score = q[mine] @ blocks.vectors[lo:hi].T
+            scored += len(mine)
             ids = blocks.ids[lo:hi]
-            score[q_ids[mine][:, None] == ids[None, :]] = -np.inf
+            score[q_rows[mine][:, None] == blocks.rows[lo:hi][None, :]] = -np.inf
             both = np.concatenate([best[mine], score], axis=1)
             names = np.concatenate([who[mine], np.broadcast_to(ids, (len(mine), len(ids)))], axis=1)
             # ids within a block ascend, but earlier finds may have any id
@@ -99,7 +109,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, blocks: Blocks, k: int) -> tuple[np
         step = min(step * 2, 64)
         if at < order.shape[1]:
             active = active[ranked[active, at] >= best[active, -1]]
-    return best, who
+    return scored
 
 
 def _top(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
@@ -112,42 +122,72 @@ def _top(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _exact_search(q_ids, q, ids, vectors, k):
-    """For values too large for exact doubles: Python's integers, every row."""
-    rows = []
-    whole = [[int(v) for v in x] for x in vectors]
-    for i, x in zip(q_ids, q):
-        x = [int(v) for v in x]
-        scored = sorted(((-sum(a * b for a, b in zip(x, y)), j) for j, y in zip(ids, whole) if j != i))[:k]
-        rows += [(int(i), int(j), -s) for s, j in scored]
-    return rows
+def ordered_text(x: int) -> str:
+    """A whole number as text that sorts as it does; up to 9999 digits."""
+    digits = str(abs(x))
+    if x >= 0:
+        return f"1{len(digits):04}{digits}"
+    return f"0{9999 - len(digits):04}" + "".join(chr(105 - ord(c)) for c in digits)
 
 
-def _shard(shared, k: int, block: int, shard: int):
-    def found(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        q_ids, q = shared.value
-        ids, vectors = matrix(held)
-        width = max(q.shape[1], vectors.shape[1])
-        q, vectors = wider(q, width), wider(vectors, width)
-        if width * (np.abs(q).max(initial=0) + 1) * (np.abs(vectors).max(initial=0) + 1) < EXACT:
-            best, who = search(q_ids, q, Blocks(ids, vectors, block), k)
-            row, col = np.nonzero(best > -np.inf)
-            return pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(who[row, col]), pa.array(best[row, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
-        rows = _exact_search(q_ids, q, ids, vectors, k)
-        limit = (1 << 63) - 1
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([max(-limit - 1, min(limit, r[2])) for r in rows], pa.int64())], names=["query_id", "vec_id", "score"])
+LIMIT = (1 << 63) - 1
+FOUND = "query_row long, query_id long, vec_id long, score long, large string"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["query_row", "query_id", "vec_id", "score", "large"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if i == 4 else pa.int64()) for i in range(5)], names=names)
 
+
+def _exact(q_ids, q_rows, q, ids, rows, vectors, k: int, width: int = 256) -> Iterator[tuple]:
+    """The best k of the vectors for each query by products of Python integers, some vectors at a time."""
+    for i, r, x in zip(q_ids, q_rows, q):
+        x = np.array([int(v) for v in x], object)
+        kept: list[tuple] = []
+        for at in range(0, len(ids), width):
+            y = np.array([[int(v) for v in z] for z in vectors[at : at + width]], object)
+            scores = y @ x if y.size else [0] * len(y)
+            kept = sorted(kept + [(-s, int(j)) for s, j, o in zip(scores, ids[at : at + width], rows[at : at + width]) if o != r])[:k]
+        for s, j in kept:
+            # equal longs at either limit are told apart by the text
+            yield int(r), int(i), j, max(-LIMIT - 1, min(LIMIT, -s)), ordered_text(-s) if abs(s) >= LIMIT else None
+
+
+def _shard(shared, k: int, block: int, shard: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q_rows, q = shared.value
+        best, who = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
+
+        def take(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, rows, vectors = matrix(held)
+            width = max(q.shape[1], vectors.shape[1])
+            a, b = wider(q, width), wider(vectors, width)
+            # rows whose values are at most this have exact products with each other
+            most = np.sqrt(EXACT / max(1, width)) - 1
+            fine_q, fine = (np.abs(x).max(axis=1, initial=0) <= most for x in (a, b))
+            if fine_q.any() and fine.any():
+                mine, names = best[fine_q], who[fine_q]
+                search(q_rows[fine_q], a[fine_q], Blocks(ids[fine], rows[fine], b[fine], block), mine, names)
+                best[fine_q], who[fine_q] = mine, names
+            for some, others in ((fine_q, ~fine), (~fine_q, np.ones(len(fine), bool))):
+                if some.any() and others.any():
+                    found = [*_exact(q_ids[some], q_rows[some], a[some], ids[others], rows[others], b[others], k)]
+                    if found:
+                        yield _packed(found)
+
         held, n = [], 0
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
                 n += batch.num_rows
             if n >= shard:
-                yield found(held)
+                yield from take(held)
                 held, n = [], 0
         if held:
-            yield found(held)
+            yield from take(held)
+        row, col = np.nonzero(best > -np.inf)
+        columns = [pa.array(q_rows[row]), pa.array(q_ids[row]), pa.array(who[row, col]), pa.array(best[row, col].astype(np.int64)), pa.nulls(len(row), pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["query_row", "query_id", "vec_id", "score", "large"])
 
     return each
 
@@ -155,29 +195,26 @@ def _shard(shared, k: int, block: int, shard: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 64, shard: int = 16_384, query_block: int = 16_384) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k highest inner products of each query among all other rows.
 
-    vectors and queries: (id, vector of whole numbers as double), as ``quantised`` gives. A row with the query's own id
-    is no candidate. Ties go to the smaller id. Vectors of unequal length count as filled up with zeros; an
-    empty vector scores 0. Sums beyond exact doubles are taken in Python's integers and clamped to a long.
-    Repeated ids are one query each time they occur in ``queries`` only if their rows differ; null ids are left out.
-    Fewer candidates than k give fewer rows; an empty table gives none.
+    vectors: (id, vector of whole numbers as double, row), as ``numbered`` gives; queries are rows of the same kind, and a
+    row is no candidate for itself. Ties go to the smaller id. Vectors of unequal length count as filled up with zeros;
+    an empty vector scores 0. Scores are ranked exactly; beyond a long they are given as the nearest long. Rows that
+    share an id are each a query and a candidate, also for each other; null ids are left out. Fewer candidates than k
+    give fewer rows; an empty table gives none.
     """
     spark = prepare(vectors.sparkSession)
-    vectors = stage(vectors.where("id is not null").select("id", "vector"), "vectors")
     n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    dealt = queries.where("id is not null").dropDuplicates(["id"]).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(2 * blocks if blocks > 1 else 1)))
-    dealt = stage(dealt, "queries")
+    parts = max(1, -(-n // query_block)) * 2 if n > query_block else 1
+    dealt = stage(queries.where("id is not null").select("id", "row", "vector").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts))), "queries")
     found = None
-    for part in range(2 * blocks if blocks > 1 else 1):
-        rows = dealt.where(F.col("part") == part).select("id", "vector").toArrow().to_batches()
-        rows = [b for b in rows if b.num_rows]
+    for part in range(parts):
+        rows = [b for b in dealt.where(F.col("part") == part).select("id", "row", "vector").toArrow().to_batches() if b.num_rows]
         if not rows:
             continue
-        ids, q = matrix(rows)
-        shared = spark.sparkContext.broadcast((ids.astype(np.int64), q))
-        got = stage(vectors.mapInArrow(_shard(shared, k, block, shard), "query_id long, vec_id long, score long"), "topk-part")
+        ids, own, q = matrix(rows)
+        shared = spark.sparkContext.broadcast((ids.astype(np.int64), own.astype(np.int64), q))
+        got = stage(vectors.select("id", "row", "vector").mapInArrow(_shard(shared, k, block, shard), FOUND), "topk-part")
         found = got if found is None else found.unionByName(got)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), F.desc("large"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from edgetide.llm import textkit
 from edgetide.llm.neardup import portions
-from edgetide.llm.runtime import and_double, bounded_sample, prepare
+from edgetide.llm.runtime import and_double, bounded_rows, bounded_sample, prepare
 
 BITS = 20
 #: Labelled documents that a model is fitted on at most (about; chosen by a hash of doc_id).
@@ -86,41 +86,47 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 6, alpha: floa
     return Model(at, every[at], float(-z[-1] / ((beta + np.sqrt(n[-1])) / alpha)))
 
 
-def _fit_task():
-    """One bounded task: the sample's rows in an order of their own to a model's weights."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, labels, rows = [], [], []
-        for batch in batches:
-            data, starts, ends = textkit.view(batch.column("text"))
-            for lo, hi in portions(starts, ends):
-                h, low, high = textkit.words(data, starts[lo:hi], ends[lo:hi], textkit.ALNUM)
-                got = [*features(h, low, high)]
-                row, at = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-                both = np.unique(row << BITS | at)
-                cut = np.searchsorted(both, np.arange(hi - lo + 1) << BITS)
-                coordinate = (both & ((1 << BITS) - 1)).astype(np.int32)
-                rows += [coordinate[a:b] for a, b in zip(cut[:-1], cut[1:])]
-            ids += batch.column("doc_id").to_pylist()
-            labels += batch.column("label").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], labels[i], len(rows[i])))
-        m = fit([rows[i] for i in order], np.array([labels[i] for i in order], float))
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[m.at, -1]), pa.array(np.r_[m.value, m.bias])], names=["at", "value"])
-
-    return each
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's coordinates, without repeats; from here on no text travels."""
+    for batch in batches:
+        data, starts, ends = textkit.view(batch.column("text"))
+        rows = []
+        for lo, hi in portions(starts, ends):
+            h, low, high = textkit.words(data, starts[lo:hi], ends[lo:hi], textkit.ALNUM)
+            got = [*features(h, low, high)]
+            row, at = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+            both = np.unique(row << BITS | at)
+            cut = np.searchsorted(both, np.arange(hi - lo + 1) << BITS)
+            coordinate = (both & ((1 << BITS) - 1)).astype(np.int32)
+            rows += [coordinate[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "at"])
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One bounded task: the sample's features in an order of their own to a model's weights."""
+    ids, labels, rows = [], [], []
+    for batch in batches:
+        rows += [np.frombuffer(x, np.int32) for x in batch.column("at").to_pylist()]
+        ids += batch.column("doc_id").to_pylist()
+        labels += batch.column("label").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], labels[i], len(rows[i]), rows[i].tobytes()))
+    m = fit([rows[i] for i in order], np.array([labels[i] for i in order], float))
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[m.at, -1]), pa.array(np.r_[m.value, m.bias])], names=["at", "value"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = TRAIN_ROWS) -> Model:
     """Fit on the labelled documents: docs (doc_id, text), labels (doc_id, label 0 or 1).
 
-    Several labels of a document count as their maximum; null labels and null ids don't count. About ``bound``
-    documents at most are used. Without labels the model scores 0.5 everywhere.
+    Several labels of a document count as their maximum; null labels and null ids don't count; a null text is an empty
+    one. About ``bound`` documents at most are used, also where ids repeat. Without labels the model scores 0.5
+    everywhere.
     """
     prepare(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("label"))
     chosen = bounded_sample(known, "doc_id", bound, 8)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = sample.select("doc_id", "text", "label").repartition(1).mapInArrow(_fit_task(), "at long, value double").collect()
+    joined = docs.select(F.col("doc_id"), F.col("text")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    sample = bounded_rows(joined, 2 * bound, 9).mapInArrow(_features, "doc_id long, label int, at binary")
+    rows = sample.repartition(1).mapInArrow(_fit_task, "at long, value double").collect()
     pairs = {r["at"]: r["value"] for r in rows}
     bias = pairs.pop(-1, 0.0)
     at = np.array(sorted(pairs), np.int64)
@@ -152,9 +158,11 @@ def _score(shared):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of docs with toxicity_score, a double from 0 to 1, added. A null text counts as empty.
+    """All rows and columns of docs with toxicity_score, a double from 0 to 1, added.
 
-    A column of docs that is called toxicity_score is replaced.
+    A null text counts as empty; whole texts are scored, in portions of bounded size, and a longer text alone. Rows are
+    handled one by one: repeated rows and ties get the same score, and an empty table gives an empty one. A column of
+    docs that is called toxicity_score is replaced; others may have any names.
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)

@@ -1,8 +1,10 @@
 """WARC archives written and read as a chunked record table.
 
-A payload travels as rows (record, chunk number, bytes) of bounded size. The writer streams those rows into
-gzipped archives, a member a record; the reader streams them out again, a row a chunk, each carrying the length and
-the SHA-1 of the payload up to there, so no task builds a whole record. Archives go to the shared folder
+A payload travels as rows (record, chunk number, bytes) of bounded size. The writer makes those rows one at a time over
+the page's own buffer, updates the payload's digest with each and feeds it into gzipped archives, a member a record;
+the reader streams them out again, a row a chunk, each carrying the length and the SHA-1 of the payload up to there. So
+beyond the row of ``pages`` itself no task builds a whole record. Archives begin with a warcinfo record, a page is an HTTP
+response, and an archive that has reached ``roll`` bytes is followed by another. They go to the shared folder
 through pyarrow's filesystems (file, s3, gs, hdfs, by the folder's scheme), each to a name of its own attempt; only
 the names that finished tasks return are read, so a task that ran twice or was lost leaves nothing that counts.
 """
@@ -15,6 +17,7 @@ import posixpath
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,7 +27,10 @@ from pyspark.sql import functions as F
 from edgetide.llm.runtime import lookup, new_path, prepare, stage
 
 CHUNK = 256 * 1024
-_FIELDS = (("page_id", "X-Page-ID"), ("refers_to", "WARC-Refers-To"), ("payload_bytes", "X-Payload-Length"), ("payload_digest", "WARC-Payload-Digest"), ("record_type", "WARC-Type"), ("url", "WARC-Target-URI"))
+#: Compressed bytes after which a new archive is begun.
+ROLL = 1 << 30
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_FIELDS = (("page_id", "X-Page-ID"), ("refers_to", "X-Refers-To-Page-ID"), ("payload_bytes", "X-Payload-Length"), ("payload_digest", "WARC-Payload-Digest"), ("record_type", "WARC-Type"), ("url", "WARC-Target-URI"))
 CHUNKS = "archive string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, chunk_no int, last boolean, bytes_so_far long, digest_so_far string, chunk binary"
 
 
@@ -43,55 +49,87 @@ def header(fields: dict[str, str]) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode()
 
 
+def record_id(*parts) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, '|'.join(map(str, parts)))}>"
+
+
 class Archive:
     """An archive being written: gzip members, each begun by a header and fed in chunks."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, date: str):
         self.system, base = filesystem(folder)
         self.system.create_dir(base, recursive=True)
-        self.name = f"{uuid.uuid4().hex}.warc.gz"
+        self.name, self.size = f"{uuid.uuid4().hex}.warc.gz", 0
         self.out = self.system.open_output_stream(posixpath.join(base, self.name), compression=None, buffer_size=1 << 20)
-        self.member = None
+        about = b"software: edgetide\r\nformat: WARC File Format 1.1\r\n"
+        self.begin({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "WARC-Filename": self.name, "Content-Type": "application/warc-fields", "Content-Length": str(len(about))})
+        self.feed(about)
+        self.end()
 
-    def begin(self, head: bytes) -> None:
+    def begin(self, fields: dict[str, str]) -> None:
         self.member = zlib.compressobj(1, zlib.DEFLATED, 31)
-        self.feed(head)
+        self.feed(header(fields))
 
-    def feed(self, data: bytes) -> None:
-        if packed := self.member.compress(data):
-            self.out.write(packed)
+    def feed(self, data: bytes | memoryview) -> None:
+        self._put(self.member.compress(data))
 
     def end(self) -> None:
-        self.out.write(self.member.compress(b"\r\n\r\n") + self.member.flush())
+        self._put(self.member.compress(b"\r\n\r\n") + self.member.flush())
+
+    def _put(self, packed: bytes) -> None:
+        if packed:
+            self.out.write(packed)
+            self.size += len(packed)
 
     def close(self) -> None:
         self.out.close()
 
 
-def _write(folder: str):
-    """Rows (page_id, url, sha, size, record_type, refers_to, chunk_no, last, chunk) in order to an archive a task."""
+def chunks(payload: memoryview, chunk: int = CHUNK) -> Iterator[tuple[int, memoryview, bool, str]]:
+    """(chunk number, bytes, last, SHA-1 so far in hex) of a payload, one at a time and without a copy; one if it is empty."""
+    sha = hashlib.sha1()
+    for number, at in enumerate(range(0, max(1, len(payload)), chunk)):
+        part = payload[at : at + chunk]
+        sha.update(part)
+        yield number, part, at + chunk >= len(payload), sha.hexdigest()
+
+
+def _write(folder: str, date: str, chunk: int, roll: int):
+    """Rows (page_id, url, body, sha, size, record_type, refers_to, place) to archives."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive = None
+        archive, names, attempt = None, [], uuid.uuid4().hex
+        number = 0
         for batch in batches:
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "sha", "size", "record_type", "refers_to", "chunk_no", "last", "chunk"))):
-                page, url, sha, size, kind, refers, number, last, chunk = (x.as_py() for x in row)
-                archive = archive or Archive(folder)
-                if number == 0:
-                    body = size if kind == "response" else 0
-                    fields = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {url}')}>", "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "text/html"}
-                    fields |= {"WARC-Payload-Digest": "sha1:" + base32_sha1(sha), "X-Payload-Length": str(size), "Content-Length": str(body)}
-                    fields |= {} if page is None else {"X-Page-ID": str(page)}
-                    fields |= {} if refers is None else {"WARC-Refers-To": f"<page:{refers}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
-                    fields |= {} if url is None else {"WARC-Target-URI": url.replace("\r", "%0D").replace("\n", "%0A")}
-                    archive.begin(header(fields))
-                if kind == "response" and chunk:
-                    archive.feed(chunk)
-                if last:
-                    archive.end()
+            body = batch.column("body")
+            for i, (page, url, sha, size, kind, refers) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha", "size", "record_type", "refers_to")))):
+                if archive is None or archive.size >= roll:
+                    if archive:
+                        archive.close()
+                    archive = Archive(folder, date)
+                    names.append(archive.name)
+                number += 1
+                # the response that others revisit has an id that they can name
+                own = record_id("response", page, sha, size) if batch.column("named")[i].as_py() else record_id(attempt, number)
+                block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
+                held = size if kind == "response" else 0
+                fields = {"WARC-Type": kind, "WARC-Record-ID": own, "WARC-Date": date, "Content-Type": "application/http; msgtype=response"}
+                fields |= {"WARC-Payload-Digest": "sha1:" + base32_sha1(sha), "X-Payload-Length": str(size), "Content-Length": str(len(block) + held)}
+                fields |= {} if page is None else {"X-Page-ID": str(page)}
+                fields |= {} if refers is None else {"WARC-Refers-To": record_id("response", refers, sha, size), "X-Refers-To-Page-ID": str(refers), "WARC-Profile": IDENTICAL}
+                target = url if url else f"urn:page:{page}"
+                fields |= {"WARC-Target-URI": "".join(c if c > " " else f"%{ord(c):02X}" for c in target)}
+                archive.begin(fields)
+                archive.feed(block)
+                if held:
+                    for _, part, last, so_far in chunks(memoryview(body[i].as_buffer()), chunk):
+                        archive.feed(part)
+                        if last and so_far != sha:
+                            raise ValueError(f"page {page} changed while it was written")
+                archive.end()
         if archive:
             archive.close()
-            yield pa.RecordBatch.from_arrays([pa.array([archive.name])], names=["archive"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["archive"])
 
     return each
 
@@ -127,6 +165,13 @@ def read_records(stream, chunk: int = CHUNK) -> Iterator[dict]:
         fields = dict(x.split(": ", 1) for x in lines[1:])
         left, number, so_far, sha = int(fields["Content-Length"]), 0, 0, hashlib.sha1()
         base = {name: fields.get(key) for name, key in _FIELDS}
+        if fields.get("Content-Type", "").startswith("application/http"):
+            # the payload is what follows the block's own header
+            while (end := ready.find(b"\r\n\r\n")) < 0:
+                if not more():
+                    raise ValueError("archive ends within a block's header")
+            left -= end + 4
+            del ready[: end + 4]
         while True:
             while len(ready) < min(left, chunk):
                 if not more():
@@ -136,7 +181,8 @@ def read_records(stream, chunk: int = CHUNK) -> Iterator[dict]:
             left -= len(part)
             so_far += len(part)
             sha.update(part)
-            yield base | {"chunk_no": number, "last": not left, "bytes_so_far": so_far, "digest_so_far": base64.b32encode(sha.digest()).decode(), "chunk": part}
+            if fields["WARC-Type"] != "warcinfo":
+                yield base | {"chunk_no": number, "last": not left, "bytes_so_far": so_far, "digest_so_far": base64.b32encode(sha.digest()).decode(), "chunk": part}
             number += 1
             if not left:
                 break
@@ -163,7 +209,7 @@ def _read(folder: str, with_chunks: bool, rows: int = 512):
                     for r in read_records(stream):
                         r["archive"] = name
                         r["page_id"] = None if r["page_id"] is None else int(r["page_id"])
-                        r["refers_to"] = None if r["refers_to"] is None else int(r["refers_to"][6:-1])
+                        r["refers_to"] = None if r["refers_to"] is None else int(r["refers_to"])
                         r["payload_bytes"] = int(r["payload_bytes"])
                         r["payload_digest"] = r["payload_digest"].removeprefix("sha1:")
                         size += len(r["chunk"])
@@ -179,43 +225,42 @@ def _read(folder: str, with_chunks: bool, rows: int = 512):
     return each
 
 
-def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """pages with ``body`` (binary) and ``size``: a row a chunk, chunk_no from 0, in order; an empty body has one empty chunk."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("size") / chunk)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.substring(F.col("body"), i * chunk + 1, F.lit(chunk)))
-    keep = [c for c in pages.columns if c != "body"]
-    rows = pages.select(*keep, parts.alias("parts"), F.posexplode(cut).alias("chunk_no", "chunk"))
-    return rows.withColumn("last", F.col("chunk_no") == F.col("parts") - 1).drop("parts")
-
-
 def plan_records(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """pages (page_id, url, html) with body, size, sha (hex), record_type and refers_to.
+    """pages (page_id, url, html) with body, size, sha (hex), record_type, refers_to, and ``named``: revisits refer to it.
 
     Of pages with equal payloads of ``revisit_from`` bytes or more, the one with the largest page_id is the response
     and the others revisit it. A null html is an empty payload. A null page_id is below all others; rows that
     share the largest page_id (or all of whose page_ids are null) are all responses.
     """
-    body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    full = pages.select("page_id", "url", body.alias("body"))
+    body = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("body"))
     full = full.select("*", F.octet_length("body").cast("long").alias("size"), F.sha1("body").alias("sha"))
     again = full.where(F.col("size") >= revisit_from).groupBy("sha", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null")
     again = lookup(stage(again.drop("n"), "warc-repeated"))
     joined = full.join(again, ["sha", "size"], "left")
     later = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     kind = F.when(later, "revisit").otherwise("response").alias("record_type")
-    return joined.select("page_id", "url", "body", "size", "sha", kind, F.when(later, F.col("keeper")).alias("refers_to"))
+    named = F.col("keeper").isNotNull() & F.col("page_id").eqNullSafe(F.col("keeper"))
+    return joined.select("page_id", "url", "body", "size", "sha", kind, F.when(later, F.col("keeper")).alias("refers_to"), named.alias("named"))
+
 
+def write_archives(pages: DataFrame, folder: str | None = None, revisit_from: int = 0, chunk: int = CHUNK, roll: int = ROLL) -> tuple[str, DataFrame]:
+    """Write a record per row of pages (page_id, url, html; more columns are ignored); returns the folder and a staged
+    table of the archives' names.
 
-def write_archives(pages: DataFrame, folder: str | None = None, revisit_from: int = 0) -> tuple[str, DataFrame]:
-    """Write a record per row of pages; returns the folder and a staged table of the archives' names."""
+    Repeated rows are a record each. A page without url has one made of its page_id; a null html is an empty payload. An
+    empty table makes no archive. Pages that share the largest page_id of a payload share the id that revisits name.
+    """
     spark = prepare(pages.sparkSession)
     folder = folder or new_path(spark, "warc")
-    rows = chunk_table(plan_records(pages, revisit_from)).select("page_id", "url", "sha", "size", "record_type", "refers_to", "chunk_no", "last", "chunk")
-    return folder, stage(rows.mapInArrow(_write(folder), "archive string"), "warc-archives")
+    date = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = plan_records(pages, revisit_from)
+    return folder, stage(rows.mapInArrow(_write(folder, date, chunk, roll), "archive string"), "warc-archives")
 
 
 def read_archives(folder: str, archives: DataFrame, with_chunks: bool = True) -> DataFrame:
-    """The chunk table of the archives, one task an archive if there are enough tasks."""
+    """The chunk table of the archives (see CHUNKS), one task an archive if there are enough tasks; warcinfo records have no
+    row. Without ``with_chunks`` the bytes themselves are left out. No archive gives no rows."""
     prepare(archives.sparkSession)
     n = max(1, min(archives.count(), 4096))
     return archives.select("archive").repartition(n).mapInArrow(_read(folder, with_chunks), CHUNKS)

@@ -1,11 +1,14 @@
 """Each training-data operator on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import base64
 import hashlib
 import random
+import re
 import zlib
 from itertools import combinations
 from os.path import commonprefix
 
+import numpy as np
 import pytest
 
 from edgetide.llm import decontam, langid, linededup, mixing, neardup, pii, quality, topk, toxicity, warc
@@ -156,6 +159,13 @@ def test_short_lines_have_exact_copies(spark):
     assert sorted(map(tuple, linededup.drop_repeated_lines(d).collect())) == [texts[0], (2, "Two\n\nOnes"), texts[3], texts[4]]
 
 
+def test_line_dedup_with_clashing_columns(spark):
+    rows = [(1, "same line of some length here\nown one", 9, 9, 9, 9, 9), (2, "same line of some length here\nown two", 8, 8, 8, 8, 8), (None, None, 1, 1, 1, 1, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, d long, k long, stays long, _new long, `a.b` long")
+    got = linededup.drop_repeated_lines(d)
+    assert got.columns == d.columns and {r.doc_id: (r.text, r.d) for r in got.collect()} == {1: (rows[0][1], 9), 2: ("own two", 8), None: (None, 1)}
+
+
 def test_containment_against_sets(spark, docs, nothing):
     items = [(1, " ".join(LONG.split()[20_000:20_030])), (2, None), (3, ""), (4, "one two"), (5, words(40, 77)), (6, " ".join(LONG.split()[5:9]))]
     t = spark.createDataFrame(items, "item_id long, text string")
@@ -165,9 +175,15 @@ def test_containment_against_sets(spark, docs, nothing):
         s = shingle_set(text, 5)
         for k, item in items:
             q = shingle_set(item, 5)
-            if q and 5 * len(q & s) >= 4 * len(q):
+            short = len((item or "").split())
+            if 0 < short < 5:
+                # a short item is one shingle of its own length
+                s2 = shingle_set(text, short) if len((text or "").split()) >= short else set()
+                if q & s2:
+                    want.append(str((i, k, 1, 1)))
+            elif q and 5 * len(q & s) >= 4 * len(q):
                 want.append(str((i, k, len(q), len(q & s))))
-    assert got == sorted(want) and want
+    assert got == sorted(want) and sum("6, 1, 1" in w for w in want) == 2
     assert decontam.contaminated(nothing, t).count() == 0 and decontam.contaminated(docs, t.limit(0)).count() == 0
 
 
@@ -181,6 +197,16 @@ def test_mixing_meets_targets(spark, nothing):
     weighted = mixing.pareto_mix(d.withColumn("w", d.doc_id % 2 + 1.0), weight="w").collect()
     odd, even = ([r.taken / r.size for r in weighted if r.source == "c" and r.size and r.doc_id % 2 == k] for k in (1, 0))
     assert sum(odd) / len(odd) > sum(even) / len(even)
+    # a weight that is the same for all changes nothing but the scale, and no weight lets a source miss its target
+    for w in (0.2, 2.0, 5.0):
+        rows = mixing.pareto_mix(d.selectExpr("*", f"{w}D as w"), weight="w").collect()
+        for s in "abc":
+            own = [r for r in rows if r.source == s]
+            assert abs(sum(r.taken for r in own) - own[0].target) <= 40 and all(r.taken <= 3 * r.size for r in own)
+    skewed = mixing.pareto_mix(d.selectExpr("*", "case when doc_id % 10 = 0 then 100D when doc_id % 10 = 1 then null else 1D end as w"), weight="w").collect()
+    for s in "abc":
+        own = [r for r in skewed if r.source == s]
+        assert abs(sum(r.taken for r in own) - min(own[0].target, 3 * sum(r.size for r in own if r.doc_id % 10 != 1))) <= 40
     assert mixing.pareto_mix(nothing).count() == 0
 
 
@@ -211,13 +237,147 @@ def test_language_spans(spark, docs, nothing):
     assert langid.detect(docs, m).count() == len(TEXTS) and langid.detect(nothing, langid.train(nothing)).count() == 0
 
 
+def test_viterbi_against_all_paths():
+    r = np.random.Generator(np.random.PCG64(1))
+    for n in (1, 2, 5, 7):
+        score = r.normal(size=(n, 3)).astype(np.float32) * 3
+        paths = np.array(np.meshgrid(*[range(3)] * n)).reshape(n, -1).T
+        worth = [score[np.arange(n), p].sum() - 2.0 * (p[1:] != p[:-1]).sum() for p in paths]
+        got = langid.viterbi(score, np.array([0]), np.array([n]), 2.0)
+        assert abs(max(worth) - (score[np.arange(n), got].sum() - 2.0 * (got[1:] != got[:-1]).sum())) < 1e-4
+
+
+def test_windows_give_the_same_labels():
+    r = np.random.Generator(np.random.PCG64(2))
+    score = (r.normal(size=(4000, 4)) + 2 * np.eye(4)[np.repeat(r.integers(0, 4, 80), 50)]).astype(np.float32)
+    whole = langid.viterbi(score, np.array([0]), np.array([4000]))
+    for window in (3, 64, 1000):
+        assert (langid.viterbi_windows(lambda a, b: score[a:b], 4000, 4, window) == whole).all()
+    flat = np.zeros((300, 4), np.float32)
+    assert len(langid.viterbi_windows(lambda a, b: flat[a:b], 300, 4, 16)) == 300
+    one = langid.viterbi_windows(lambda a, b: score[a:b, :1], 4000, 1, 64)
+    assert (one == 0).all()
+
+
+def test_language_counts_letters(spark):
+    d = spark.createDataFrame([(i, t * 20, k) for i in range(40) for k, t in (("en", "house window the "), ("ru", "окно дом это "))], "doc_id long, text string, lang string")
+    m = langid.train(d)
+    got = langid.detect(spark.createDataFrame([("the window house " * 8 + "это окно дом " * 8,)], "text string"), m).first()
+    assert got.lang_pred == "en" and abs(got.lang_score - 14 / 24) < 0.01
+
+
+def test_positive_unlabelled_risk_falls():
+    r = np.random.Generator(np.random.PCG64(4))
+    good, bad = r.normal(1.5, 1, (400, len(quality.STATISTICS))), r.normal(-1.5, 1, (400, len(quality.STATISTICS)))
+    web = np.concatenate([good[:150], bad[:350]])
+    m = quality.fit(good, web, 0.3)
+
+    def risk(model):
+        p, u = (np.clip(model.score(x), 1e-9, 1 - 1e-9) for x in (good, web))
+        return 0.3 * -np.log(p).mean() + max(0.0, -np.log(1 - u).mean() - 0.3 * -np.log(1 - p).mean())
+
+    flat = quality.Model(m.edges, tuple(np.zeros_like(w) for w in m.weights), float(np.log(0.3 / 0.7)), 0.3)
+    assert risk(m) < 0.35 * risk(flat)
+    assert (m.score(good) > 0.5).mean() > 0.9 and (m.score(bad) < 0.5).mean() > 0.9
+
+
+def test_ftrl_against_the_textbook():
+    r = np.random.Generator(np.random.PCG64(6))
+    rows = [np.unique(r.integers(0, 40, 6)) for _ in range(60)]
+    labels = np.array([float(3 in x) for x in rows])
+    alpha, beta, l1, l2, dim = 0.5, 1.0, 0.3, 0.01, 1 << toxicity.BITS
+    z, n = dict.fromkeys([*range(40), dim], 0.0), dict.fromkeys([*range(40), dim], 0.0)
+
+    def weight(i):
+        if i == dim:
+            return -z[i] / ((beta + n[i] ** 0.5) / alpha)
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    order = np.random.Generator(np.random.PCG64(5))
+    for _ in range(2):
+        for k in order.permutation(60):
+            at = [*rows[k], dim]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[k]
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha * w[i]
+                n[i] += g * g
+    m = toxicity.fit(rows, labels, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    want = {i: weight(i) for i in range(40) if weight(i)}
+    assert set(m.at.tolist()) == set(want) and all(abs(v - want[i]) < 1e-9 for i, v in zip(m.at.tolist(), m.value)) and abs(m.bias - weight(dim)) < 1e-9
+
+
+def contract_spans(text):
+    """The four fixed patterns, as they are given."""
+    out = []
+    for k, pattern in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if k == 1 and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if k == 2 and not (13 <= len(digits) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            if k == 3 and not 9 <= len(digits) <= 15:
+                continue
+            out.append((k, *m.span()))
+    return out
+
+
+def test_pii_base_is_the_contract(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice("0123456789...--  ()+@@aZé_%") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    assert [pii.base_spans(t) for t in texts] == [contract_spans(t) for t in texts]
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for row in pii.find(d).join(d, "doc_id").collect():
+        base = contract_spans(row.text or "")
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [sum(k == j for k, _, _ in base) for j in range(4)]
+        assert row.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest() and set(filter(None, pii.joined(base).split(","))) <= set(row.spans.split(","))
+
+
+def test_pii_method_adds_and_rejects(spark):
+    rows, r = [], random.Random(5)
+    for i in range(300):
+        key = "".join(r.choice("0123456789abcdef") for _ in range(32))
+        bad = "4" + "".join(r.choice("0123456789") for _ in range(15))
+        if pii.luhn(bad):
+            bad = bad[:-1] + str((int(bad[-1]) + 1) % 10)
+        rows += [(4 * i, f"{words(8, i)} password={key} {words(5, i)}"), (4 * i + 1, f"{words(8, i)} serial {bad}x {words(5, i)}"), (4 * i + 2, f"{words(6, i)}: {words(3, i)}, note: {words(1, i)}wordy"), (4 * i + 3, f"mail a{i}@b.com card 4111 1111 1111 1111")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(pii.candidate_table(d))
+    got = {x.doc_id: x for x in pii.find(d, model=model).collect()}
+    assert sum(got[4 * i].n_secret == 1 for i in range(300)) >= 295
+    assert sum(got[4 * i + 1].n_added + got[4 * i + 2].n_added for i in range(300)) <= 5
+    assert all(got[4 * i + 3].n_card == 1 and got[4 * i + 3].n_email == 1 for i in range(300))
+    secret, valid = pii.ALL_KINDS.index("secret"), pii.LABELERS.index("charset")
+    assert model.reliabilities[secret, valid, 1, 2] > model.reliabilities[secret, valid, 0, 2]
+
+
 def test_pii_base_spans(spark, docs, nothing):
     text = "é a@b@c.d x.y@z.com.. +1 (808) 555-5385, 1.2.3.4.5 999.1.1.1 x 4111 1111-1111 1111 +12"
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in pii.base_spans(text)] == [("email", "b@c.d"), ("email", "x.y@z.com"), ("ip", "1.2.3.4"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (808) 555-5385")]
     got = {r.doc_id: r for r in pii.find(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()}
     base = pii.joined(pii.base_spans(text))
     assert got[1].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) <= set(got[1].spans.split(","))
-    assert got[2].spans == "" and pii.find(docs).count() == len(TEXTS) and pii.find(nothing).count() == 0
+    assert got[2].spans == "" and got[2].n_added == 0 and pii.find(docs).count() == len(TEXTS) and pii.find(nothing).count() == 0
+
+
+def strict_records(folder, names):
+    """Records of archives by the letter of the format: gzip members, CRLF headers, exact lengths."""
+    out = []
+    for name in names:
+        with open(folder.removeprefix("file://").removeprefix("file:") + "/" + name, "rb") as f:
+            data = f.read()
+        while data:
+            unpack = zlib.decompressobj(31)
+            record, data = unpack.decompress(data), unpack.unused_data
+            head, rest = record.split(b"\r\n\r\n", 1)
+            lines = head.decode().split("\r\n")
+            assert lines[0] == "WARC/1.1"
+            fields = dict(line.split(": ", 1) for line in lines[1:])
+            n = int(fields["Content-Length"])
+            assert rest[n:] == b"\r\n\r\n" and {"WARC-Type", "WARC-Record-ID", "WARC-Date"} <= fields.keys()
+            out.append((fields, rest[:n]))
+    return out
 
 
 def test_warc_round_trip(spark):
@@ -231,6 +391,21 @@ def test_warc_round_trip(spark):
     assert got[3].refers_to == 4 and got[5].payload_bytes == len(big.encode())
     parts = sorted((c for c in chunks if c.page_id == 5), key=lambda c: c.chunk_no)
     assert len(parts) > 1 and b"".join(c.chunk for c in parts).decode() == big
+    whole = strict_records(folder, [r.archive for r in names.collect()])
+    assert [w[0]["WARC-Type"] for w in whole].count("warcinfo") >= 1
+    ids = [w[0]["WARC-Record-ID"] for w in whole]
+    assert len(set(ids)) == len(ids)
+    kept = {w[0]["WARC-Record-ID"]: w for w in whole if w[0]["WARC-Type"] == "response"}
+    for fields, block in whole:
+        if fields["WARC-Type"] != "warcinfo":
+            head, payload = block.split(b"\r\n\r\n", 1)
+            assert head.startswith(b"HTTP/1.1 200 OK") and fields["WARC-Target-URI"]
+            if fields["WARC-Type"] == "revisit":
+                assert payload == b"" and kept[fields["WARC-Refers-To"]][0]["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"]
+            else:
+                assert "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode() == fields["WARC-Payload-Digest"]
+    rolled, parts = warc.write_archives(d.coalesce(1), chunk=1000, roll=100)
+    assert parts.count() == len(rows) and {r.page_id for r in warc.records(warc.read_archives(rolled, parts)).collect()} == {r[0] for r in rows}
     empty, none = warc.write_archives(d.limit(0))
     assert warc.read_archives(empty, none).count() == 0
 
@@ -238,15 +413,27 @@ def test_warc_round_trip(spark):
 def test_topk_against_brute_force(spark):
     r = random.Random(2)
     rows = [(i, [float(r.randint(-3, 3)) for _ in range(4)]) for i in range(300)] + [(301, None), (302, [1.0, None]), (303, [float("nan"), 1.0]), (304, []), (305, [1e12, 2.0])]
-    d = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
-    got = {}
-    for q in topk.top_k(d, d.where("id % 50 = 0"), 5, block=8).collect():
-        got.setdefault(q.query_id, []).append((q.vec_id, q.score))
-    v = {r.id: [int(x) for x in r.vector] for r in d.collect()}
-    for q, found in got.items():
-        best = sorted((-sum(a * b for a, b in zip(v[q], x)), i) for i, x in v.items() if i != q)[:5]
-        assert sorted(found, key=lambda f: (-f[1], f[0])) == [(i, -s) for s, i in best]
-    assert len(got) == 6 and topk.top_k(d.limit(0), d.limit(0)).count() == 0
+    rows += [(50, [3.0, -3.0, 3.0, 1.0]), (50, [3.0, -3.0, 3.0, 1.0]), (400, [1e300, 1.0]), (401, [1e301]), (402, [-1e300]), (450, [2e17, 1.0]), (451, [3e17])]
+    d = topk.numbered(topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding"))
+    v = [(r.row, r.id, [int(x) for x in r.vector]) for r in d.collect()]
+    limit = (1 << 63) - 1
+    want = []
+    for row, q, x in v:
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(x, y)), i) for other, i, y in v if other != row)[:5]
+            want += [(q, k, i, max(-limit - 1, min(limit, -s))) for k, (s, i) in enumerate(best, 1)]
+    for shard in (64, 16_384):
+        got = [tuple(r) for r in topk.top_k(d, d.where("id % 50 = 0"), 5, block=8, shard=shard).collect()]
+        assert sorted(got) == sorted(want)
+    assert topk.top_k(d.limit(0), d.limit(0)).count() == 0
+
+
+def test_topk_skips_blocks():
+    r = np.random.Generator(np.random.PCG64(3))
+    x = np.floor(r.normal(size=(4096, 8)) * 20) + np.repeat(np.arange(64) * 4, 64)[:, None]
+    blocks = topk.Blocks(np.arange(4096), np.arange(4096), x, 64)
+    best, who = np.full((4, 5), -np.inf), np.full((4, 5), -1)
+    assert topk.search(np.array([-1] * 4), x[-4:], blocks, best, who) < 4 * 16
 
 
 def test_held_out_remainder(spark):
