@@ -115,6 +115,8 @@ def _table(column: pa.Array, kind: type) -> np.ndarray:
 
 
 def _roots(trees: int, picks: int):
+    """The first two steps of every tree at once: of the many classes that share one token by chance, hardly any share two."""
+
     def each(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -122,9 +124,10 @@ def _roots(trees: int, picks: int):
             tokens, vid = _table(batch.column("tokens"), np.uint32), batch.column("vid").to_numpy()
             for t in range(trees):
                 node = np.full(len(vid), textkit.mix(np.array([t + 1], np.uint64))[0])
-                below = _children(node, tokens, picks)
-                for p in range(picks):
-                    yield pa.RecordBatch.from_arrays([pa.array(below[:, p].view(np.int64)), pa.array(vid)], names=["node", "vid"])
+                for first in _children(node, tokens, picks).T:
+                    below = _children(np.ascontiguousarray(first), tokens, picks)
+                    for p in range(picks):
+                        yield pa.RecordBatch.from_arrays([pa.array(below[:, p].view(np.int64)), pa.array(vid)], names=["node", "vid"])
 
     return each
 
@@ -323,11 +326,10 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
     members, each pair of blocks a task of its own. Rows are never brought together by a large group's key.
     """
     sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "group-sizes")
-    known = members.hint("merge").join(sizes, "grp")
+    known = members.join(lookup(sizes), "grp")
     small = known.where(F.col("size") <= limit)
     if "payload" not in members.columns:
-        # payloads are wide and grow with the input: shuffled at every size, never broadcast
-        small = small.hint("merge").join(payloads, "vid")
+        small = small.join(payloads, "vid")
     small = small.select("grp", "vid", "payload").repartition("grp").sortWithinPartitions("grp", "vid")
     edges = [stage(small.mapInArrow(_within(compare, "grp"), EDGE), "links-small")]
     large = known.where(F.col("size") > limit).select("grp", "vid")
@@ -338,7 +340,7 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
             pivots = rest.groupBy("grp").agg(F.min("vid").alias("pivot"))
             pivots = stage(pivots.join(payloads.select(F.col("vid").alias("pivot"), F.col("payload").alias("pivot_payload")), "pivot"), "group-pivots")
             side = F.broadcast(pivots) if fits(pivots, "pivot_payload", 2000) else pivots
-            pairs = rest.hint("merge").join(payloads, "vid").join(side, "grp")
+            pairs = rest.join(payloads, "vid").join(side, "grp")
             seen = stage(pairs.select("grp", "vid", "pivot", "payload", "pivot_payload").mapInArrow(_star(compare), "grp long, vid long, pivot long, linked boolean"), "group-stars")
             edges.append(seen.where("linked and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")))
             rest = seen.where("not linked").select("grp", "vid")
@@ -366,14 +368,14 @@ def candidate_groups(classes: DataFrame, least: int, trees: int, picks: int, lea
     members = None
     for level in range(depth):
         sizes = stage(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above")).where("size > 1"), "tree-sizes")
-        now = rows.select("node", "vid").hint("merge").join(sizes, "node")
+        now = rows.select("node", "vid").join(lookup(sizes), "node")
         # a node that keeps over half of the node above it is dense: going on down would not take it apart
         ends = (F.col("size") <= leaf) | ((F.col("size") * 2 > F.col("above")) if level else F.lit(False)) | F.lit(level == depth - 1)
         found = now.where(ends).select(F.col("node").alias("grp"), "vid")
         members = found if members is None else members.unionByName(found)
         if level == depth - 1 or sizes.where(~ends).isEmpty():
             break
-        deeper = now.where(~ends).hint("merge").join(classes.select("vid", "tokens"), "vid").select("node", "vid", "size", "tokens")
+        deeper = now.where(~ends).join(classes.select("vid", "tokens"), "vid").select("node", "vid", "size", "tokens")
         rows = stage(deeper.mapInArrow(_branch(picks), "node long, vid long, above long"), "tree-level")
     members = stage(members, "tree-leaves")
     return stage(components(link_groups(members, classes.select("vid", F.col("sketch").alias("payload")), Sketches(least), leaf)), "candidate-groups")
