@@ -338,12 +338,13 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
         rest = large
         for _ in range(stars):
             pivots = rest.groupBy("grp").agg(F.min("vid").alias("pivot"))
-            pivots = stage(pivots.join(payloads.select(F.col("vid").alias("pivot"), F.col("payload").alias("pivot_payload")), "pivot"), "group-pivots")
+            pivots = payloads.select(F.col("vid").alias("pivot"), F.col("payload").alias("pivot_payload")).join(lookup(stage(pivots, "group-heads")), "pivot")
+            pivots = stage(pivots.select("grp", "pivot", "pivot_payload"), "group-pivots")
             side = F.broadcast(pivots) if fits(pivots, "pivot_payload", 2000) else pivots
-            pairs = rest.join(payloads, "vid").join(side, "grp")
+            pairs = payloads.select("vid", "payload").join(lookup(rest), "vid").join(side, "grp")
             seen = stage(pairs.select("grp", "vid", "pivot", "payload", "pivot_payload").mapInArrow(_star(compare), "grp long, vid long, pivot long, linked boolean"), "group-stars")
             edges.append(seen.where("linked and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")))
-            rest = seen.where("not linked").select("grp", "vid")
+            rest = stage(seen.where("not linked").select("grp", "vid"), "group-rest")
         left = stage(rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("blocks")), "group-left")
         if not left.isEmpty():
             chunks = large.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("chunks"))
@@ -351,7 +352,8 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
             spot = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
             own = rest.join(lookup(grid), "grp").withColumn("i", spot("blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", F.lit(True))
             other = large.join(lookup(grid), "grp").withColumn("j", spot("chunks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.lit(False))
-            cells = own.unionByName(other).select(F.xxhash64("grp", "i", "j").alias("cell"), "vid", "block").join(payloads, "vid")
+            cells = stage(own.unionByName(other).select(F.xxhash64("grp", "i", "j").alias("cell"), "vid", "block"), "group-cells")
+            cells = payloads.select("vid", "payload").join(lookup(cells), "vid")
             edges.append(stage(cells.repartition("cell").sortWithinPartitions("cell", "vid").select("cell", "vid", "block", "payload").mapInArrow(_across(compare), EDGE), "links-blocks"))
     out = edges[0]
     for e in edges[1:]:
@@ -375,7 +377,8 @@ def candidate_groups(classes: DataFrame, least: int, trees: int, picks: int, lea
         members = found if members is None else members.unionByName(found)
         if level == depth - 1 or sizes.where(~ends).isEmpty():
             break
-        deeper = now.where(~ends).join(classes.select("vid", "tokens"), "vid").select("node", "vid", "size", "tokens")
+        # few go deeper: their tokens are looked up, all others stay where they are
+        deeper = classes.select("vid", "tokens").join(lookup(stage(now.where(~ends), "tree-deep")), "vid").select("node", "vid", "size", "tokens")
         rows = stage(deeper.mapInArrow(_branch(picks), "node long, vid long, above long"), "tree-level")
     members = stage(members, "tree-leaves")
     return stage(components(link_groups(members, classes.select("vid", F.col("sketch").alias("payload")), Sketches(least), leaf)), "candidate-groups")
