@@ -263,7 +263,7 @@ def classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFram
     linked = stage(links(different.where(F.col("n") >= least).select("h1", "h2", "n", "line"), edits), "line-links")
     ends = linked.select("h1", "h2").unionByName(linked.select(F.col("g1").alias("h1"), F.col("g2").alias("h2")))
     degree = stage(ends.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_links")), "line-degrees")
-    root = components(linked.select(F.col("h1").alias("a"), F.col("g1").alias("b"))).select(F.col("id").alias("h1"), "root")
+    root = components(linked.select(F.col("h1").alias("a"), F.col("g1").alias("b")), one_task=0).select(F.col("id").alias("h1"), "root")
     some = different.select("h1", "h2", "first", "copies").join(lookup(degree), ["h1", "h2"], "left").where("copies > 1 or n_links > 0")
     some = stage(some.join(lookup(stage(root, "line-roots")), "h1", "left"), "line-classes")
     firsts = some.where("n_links > 0").groupBy("root").agg(F.min("first").alias("class_first"))

@@ -47,8 +47,9 @@ def shingle_set(text, k):
 
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 7), (None, 1), (2, 3)], "a long, b long")
-    assert {(r.id, r.root) for r in components(e).collect()} == {(5, 2), (4, 2), (3, 2), (2, 2), (9, 8), (8, 8)}
-    assert components(e.limit(0)).count() == 0
+    for one_task in (0, 100):
+        assert {(r.id, r.root) for r in components(e, one_task=one_task).collect()} == {(5, 2), (4, 2), (3, 2), (2, 2), (9, 8), (8, 8)}
+        assert components(e.limit(0), one_task=one_task).count() == 0
 
 
 def test_near_duplicates_against_all_pairs(spark, docs, nothing):
