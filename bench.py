@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from edgetide.plans import catalog
 
-HEADLINE = ["sta_arrival", "sta_slack", "path_counts", "levelize", "esta_adder1", "tag_merge", "esta_slack_binned", "vcd_cycles", "vcd_delays", "delay_hist", "delay_cdf", "emd", "compare_exhaustive", "mean_ci"]
+HEADLINE = ["sta_arrival", "sta_slack", "path_counts", "levelize", "ext_adder1", "tag_merge", "ext_slack_binned", "vcd_cycles", "vcd_delays", "delay_hist", "delay_cdf", "emd", "compare_exhaustive", "mean_ci"]
 
 
 def main() -> None:

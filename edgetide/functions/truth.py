@@ -17,11 +17,6 @@ def _long(x) -> Column:
     return F.lit(x).cast("long")
 
 
-def full(k: Column) -> Column:
-    """All 2**k assignments."""
-    return F.when(k >= 6, _long(-1)).otherwise(F.call_function("shiftleft", _long(1), F.call_function("shiftleft", F.lit(1), k)) - 1)
-
-
 def cofactor(tt: Column, pin: int, value: Column) -> Column:
     """The table with input ``pin`` held at ``value`` (0 or 1), spread so that it no longer depends on that input."""
     mask, width = _long(INPUT_MASK[pin]), 1 << pin

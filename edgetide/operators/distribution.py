@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,3 +102,20 @@ def compare(ref: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
         F.count_if(both).alias("matched"), F.count_if(~both).alias("unmatched"), F.count_if(both & (F.col("class_a") != F.col("class_b"))).alias("other_class"),
         F.count_if(both & (d <= -1)).alias("optimistic"), F.count_if(both & (d > 0)).alias("pessimistic"), F.count_if(both & (d == 0)).alias("equal"),
     )
+
+
+def step_histogram(cpd: DataFrame, key: list[str]) -> DataFrame:
+    """(key, delay, probability) of a static result (key, cpd): all at cpd, and a row of 0 at delay 0 where that is another."""
+    rows = F.when(F.col("cpd") == 0, F.array(F.struct(F.lit(0).cast("long").alias("delay"), F.lit(1.0).alias("probability"))))
+    rows = rows.otherwise(F.array(F.struct(F.lit(0).cast("long").alias("delay"), F.lit(0.0).alias("probability")), F.struct(F.col("cpd").cast("long").alias("delay"), F.lit(1.0).alias("probability"))))
+    return cpd.select(*key, F.explode(rows).alias("h")).select(*key, "h.*")
+
+
+def row_max(tables: list[DataFrame], key: list[str]) -> DataFrame:
+    """(key, delay): the largest delay of several tables (key, delay) for each key, whichever has it."""
+    return reduce(DataFrame.unionByName, tables).groupBy(*key).agg(F.max("delay").alias("delay"))
+
+
+def mean_normalised(distances: DataFrame) -> DataFrame:
+    """The average over keys of distances (key, distance, base), each over its base."""
+    return distances.agg(F.avg(normalised(F.col("distance"), F.col("base"))).alias("mean"))

@@ -7,6 +7,7 @@ histogram aggregates. Tags (node, transition, arrival) with a weight are what th
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -78,10 +79,15 @@ def evaluate(table: int, k: int, pins: list[tuple[Column, Column, int]]) -> Colu
     every = (1 << (1 << k)) - 1
     every = every - (1 << 64) if every >> 63 else every
     rows = F.array_sort(F.array(*[F.struct(a.cast("long").alias("arr"), F.lit(i).alias("pin"), t.alias("trans"), F.lit(d).cast("long").alias("delay")) for i, (t, a, d) in enumerate(pins)]))
-    zero = F.struct(F.lit(table).cast("long").alias("f"), F.lit(False).alias("dyn"), F.lit(0).cast("long").alias("still"), F.lit(0).cast("long").alias("late"))
+    return folded(rows, F.lit(table).cast("long"), F.lit(every).cast("long"))
+
+
+def folded(rows: Column, table: Column, every: Column) -> Column:
+    """The fold of ``evaluate`` over sorted pins (arr, pin, trans, delay), the table and its constant 1 being columns too."""
+    zero = F.struct(table.alias("f"), F.lit(False).alias("dyn"), F.lit(0).cast("long").alias("still"), F.lit(0).cast("long").alias("late"))
 
     def step(s: Column, x: Column) -> Column:
-        after = truth.cofactor_at(s["f"], x["pin"], F.when(x["trans"].isin("R", "H"), 1).otherwise(0)).bitwiseAND(F.lit(every).cast("long"))
+        after = truth.cofactor_at(s["f"], x["pin"], F.when(x["trans"].isin("R", "H"), 1).otherwise(0)).bitwiseAND(every)
         skip = (s["f"] == 0) | (s["f"] == every) | (after == s["f"])
         used = F.struct(after.alias("f"), (s["dyn"] | x["trans"].isin("R", "F")).alias("dyn"), F.greatest(s["still"], x["arr"]).alias("still"), F.greatest(s["late"], x["arr"] + x["delay"]).alias("late"))
         return F.when(skip, s).otherwise(used)
@@ -135,19 +141,27 @@ def merge_tags(tags: DataFrame, key: list[str], coarse: int = 0, fine: int = 0,
     return tags.groupBy(*key, "trans", high.alias("fine_side"), bins(F.col("arr"), coarse, fine, threshold).alias("bin")).agg(F.max("arr").alias("arr"), F.count(F.lit(1)).alias("n")).drop("fine_side", "bin")
 
 
-def cap_bin(counts: list[dict[int, int]], limit: int, coarse: float, growth: float = 1.2) -> list[int]:
-    """Tag counts after binning so that their product is at most ``limit``: ever the input with most tags is binned
-    more coarsely, until one bin holds its largest delay. counts: arrival -> tags of each input; limit 0 means none."""
+def cap_widths(tags: list[dict], limit: int, coarse: float, growth: float = 1.2) -> list[float]:
+    """Bin widths of the inputs (0: none) so that the product of their tags is at most ``limit``: ever the input with most
+    tags is binned more coarsely, until one bin holds its largest delay.
+
+    tags: for each input a dict with a key (transition, arrival), or an arrival alone, a tag; limit 0 means none.
+    """
     if limit and coarse <= 0:
         raise ValueError("a limit on permutations needs a positive bin")
-    sizes, width = [len(c) for c in counts], [coarse] * len(counts)
-    while limit:
-        product = 1
-        for s in sizes:
-            product *= s
-        worst = max(range(len(sizes)), key=lambda i: sizes[i], default=None)
-        if product <= limit or worst is None or width[worst] > max(counts[worst], default=0):
+    split = lambda key: key if isinstance(key, tuple) else ("", key)
+    sizes, width, used = [len(t) for t in tags], [coarse] * len(tags), [0.0] * len(tags)
+    while limit and math.prod(sizes) > limit:
+        worst = max(range(len(sizes)), key=lambda i: sizes[i])
+        if width[worst] > max(split(t)[1] for t in tags[worst]):
             break
-        sizes[worst] = len({int(a // width[worst]) for a in counts[worst]})
+        sizes[worst] = len({(split(t)[0], int(split(t)[1] // width[worst])) for t in tags[worst]})
+        used[worst] = width[worst]
         width[worst] *= growth
-    return sizes
+    return used
+
+
+def cap_bin(counts: list[dict], limit: int, coarse: float, growth: float = 1.2) -> list[int]:
+    """Tag counts of the inputs after binning by ``cap_widths``."""
+    split = lambda key: key if isinstance(key, tuple) else ("", key)
+    return [len({(split(t)[0], int(split(t)[1] // w)) for t in c}) if w else len(c) for c, w in zip(counts, cap_widths(counts, limit, coarse, growth))]

@@ -253,3 +253,27 @@ def verify(edges: DataFrame, expected_sources: Column, expected_sinks: Column) -
         row = broken.agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("broken"))
         out = row if out is None else out.union(row)
     return out
+
+
+def clock_edges(nodes: DataFrame) -> DataFrame:
+    """(src, dst) from each block's clock pin to its register source and sink: nodes (node, type, block)."""
+    clock = nodes.where("type = 'FF_CLOCK'").select("block", F.col("node").alias("src"))
+    return nodes.where("type in ('FF_SOURCE', 'FF_SINK')").select("block", F.col("node").alias("dst")).join(clock, "block").select("src", "dst")
+
+
+def remapped(constraints: DataFrame, layout: DataFrame) -> DataFrame:
+    """Constraints (node, ...) with the new ids of ``relayout``; those on nodes without one go."""
+    ids = layout.select(F.col("node").alias("_old"), "new_id")
+    met = constraints.join(ids, F.col("node") == F.col("_old"))
+    return met.select(F.col("new_id").alias("node"), *[c for c in constraints.columns if c != "node"])
+
+
+def selected(edges: DataFrame, which: str) -> DataFrame:
+    """(node) by a selection: ``all``, ``none``, ``pi`` (no fan-in), ``po`` (no fan-out), or names with commas between."""
+    if which in ("pi", "po"):
+        a, b = ("src", "dst") if which == "pi" else ("dst", "src")
+        return edges.select(F.col(a).alias("node")).distinct().join(edges.select(F.col(b).alias("node")), "node", "left_anti")
+    found = nodes_of(edges)
+    if which == "all":
+        return found
+    return found.where(F.col("node").isin([] if which == "none" else [n.strip() for n in which.split(",")]))

@@ -115,3 +115,8 @@ def annotate(links: DataFrame, delays: DataFrame) -> DataFrame:
     known = delays.select(block.alias("b"), pin.alias("p"), F.round("value").cast("long").alias("delay")).groupBy("b", "p").agg(F.max("delay").alias("delay"))
     met = links.join(known, (F.col("block") == F.col("b")) & F.col("pin").eqNullSafe(F.col("p")), "left")
     return met.select(*links.columns, F.coalesce("delay", F.lit(0).cast("long")).alias("delay"))
+
+
+def named(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """nodes with ``name`` from names (node, name); a node that has none is ``<unknown>``."""
+    return nodes.join(names, "node", "left").withColumn("name", F.coalesce("name", F.lit("<unknown>")))

@@ -51,11 +51,51 @@ def pair_table(joint: DataFrame) -> DataFrame:
 
 
 def max_by_exclusion(rows: DataFrame) -> DataFrame:
-    """(delay, n) from (vec, delay) of all outputs: delays descending, each taking the vectors no larger one has."""
-    first = rows.groupBy("vec").agg(F.max("delay").alias("delay"))
-    return first.groupBy("delay").agg(F.count(F.lit(1)).alias("n"))
+    """(delay, n) from (vec, delay) of all outputs: a delay's vectors are those that have it, less those that are covered by
+    a larger one."""
+    seen = rows.distinct()
+    larger = seen.select(F.col("vec").alias("v"), F.col("delay").alias("d"))
+    free = seen.join(larger, (F.col("vec") == F.col("v")) & (F.col("d") > F.col("delay")), "left_anti")
+    return free.groupBy("delay").agg(F.count(F.lit(1)).alias("n"))
 
 
-def functions_of(spark: SparkSession, variables: int, models: int) -> DataFrame:
-    """(assignment) of a function of ``variables`` inputs with exactly ``models`` satisfying assignments."""
-    return spark.range(min(models, 1 << variables)).select(F.col("id").alias("assignment"))
+
+def cube_of(minterm: Column, variables: int) -> Column:
+    """The values of a minterm's variables as text, the first variable first."""
+    return F.concat(*[F.shiftright(minterm, i).bitwiseAND(F.lit(1)).cast("string") for i in range(variables)])
+
+
+def cubes_to_rows(spark: SparkSession, cubes: list[str]) -> DataFrame:
+    """(assignment) that any of the cubes (0, 1, - by variable) holds, each once."""
+    n = len(cubes[0])
+    held = lambda c: [(sum(1 << i for i, b in enumerate(c) if b != "-"), sum(1 << i for i, b in enumerate(c) if b == "1"))]
+    match = [F.col("id").bitwiseAND(F.lit(mask)) == value for c in cubes for mask, value in held(c)]
+    any_of = match[0]
+    for m in match[1:]:
+        any_of = any_of | m
+    return spark.range(1 << n).where(any_of).select(F.col("id").alias("assignment"))
+
+
+def complement(spark: SparkSession, rows: DataFrame, variables: int) -> DataFrame:
+    return spark.range(1 << variables).select(F.col("id").alias("assignment")).join(rows, "assignment", "left_anti")
+
+
+def fraction(rows: DataFrame, variables: int, key: list[str] | None = None) -> DataFrame:
+    """(key, n, fraction) of satisfying assignments (key, assignment), each counted once."""
+    n = rows.select(*(key or []), "assignment").distinct().groupBy(*(key or [])).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("fraction", F.col("n") / F.lit(2.0**variables))
+
+
+def disjoint_or(parts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, fraction) of the OR of functions without a common variable: what none of them leaves out."""
+    return parts.groupBy(*key).agg((1 - F.product(1 - F.col("fraction"))).alias("fraction"))
+
+
+def disjoint_and(parts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, fraction) of the AND of functions without a common variable."""
+    return parts.groupBy(*key).agg(F.product("fraction").alias("fraction"))
+
+
+def overlapping(supports: DataFrame) -> DataFrame:
+    """(f, variable): variables that more than one part of a function f has, so that its parts are not disjoint."""
+    return supports.select("f", "part", "variable").distinct().groupBy("f", "variable").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1").select("f", "variable")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgetide.functions import truth
-from edgetide.operators import distribution, extended, graph, netlist, probability, timing, waveform
+from edgetide.operators import distribution, extended, graph, netlist, probability, search, tags as tag_ops, timing, waveform
 from edgetide.plans import inputs
 from edgetide.plans.inputs import EDGES, SIGNALS, table
-from edgetide.sources import blif, echo, sdf, writers
+from edgetide.sources import blif, echo, files, sdf, vcd, writers
 from edgetide.staging import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,11 +92,11 @@ def sta_launch_node(spark, sf_dir):
     return timing.launched_arrival(*network(spark, sf_dir))
 
 
-@query(f"{PATHS} SELECT node, root AS domain, max(t) AS arrival FROM p WHERE root IN ('R0','R1','R2') GROUP BY node, root")
+@query(f"{PATHS} SELECT node, root AS domain, max(t) AS arrival FROM p WHERE root LIKE 'R%' GROUP BY node, root")
 def multi_domain_arrival(spark, sf_dir):
     e, levels = network(spark, sf_dir)
     seeds = timing.starts(levels).select("node", F.col("node").alias("domain"), F.lit(0).cast("long").alias("arrival"))
-    pairs = spark.createDataFrame([("R0",), ("R1",), ("R2",)], "domain string")
+    pairs = table(spark, sf_dir, "region").select(F.concat(F.lit("R"), "r_regionkey").alias("domain"))
     return timing.domain_arrival(e, levels, seeds, pairs)
 
 
@@ -150,9 +151,10 @@ def graph_verify(spark, sf_dir):
     return graph.verify(inputs.edges(spark, sf_dir), F.col("node").rlike("^[RP]"), F.col("node").startswith("L"))
 
 
-@query(f"{PATHS} SELECT DISTINCT root, node FROM p WHERE root = 'R0'")
+@query(f"{PATHS} SELECT DISTINCT root, node FROM p WHERE root LIKE 'R%'")
 def clock_fanout(spark, sf_dir):
-    start = spark.createDataFrame([("R0", "R0")], "root string, node string")
+    region = F.concat(F.lit("R"), "r_regionkey")
+    start = table(spark, sf_dir, "region").select(region.alias("root"), region.alias("node"))
     return graph.reach(inputs.edges(spark, sf_dir), start)
 
 
@@ -228,17 +230,17 @@ def two_vector_eval(spark, sf_dir):
 
 
 @query(golden([(0, 8), (20, 2), (25, 2), (30, 4)]))
-def esta_and2(spark, sf_dir):
+def ext_and2(spark, sf_dir):
     return extended.histogram(extended.simulate(spark, inputs.AND2), "c")
 
 
 @query(golden([(0, 38), (30, 10), (35, 4), (40, 4), (45, 8)]))
-def esta_and3(spark, sf_dir):
+def ext_and3(spark, sf_dir):
     return extended.histogram(extended.simulate(spark, inputs.AND3), "d")
 
 
 @query(golden([(0, 8), (35, 24), (40, 32)]))
-def esta_adder1(spark, sf_dir):
+def ext_adder1(spark, sf_dir):
     return extended.histogram(extended.simulate(spark, blif.circuit(ADDER1)), "s")
 
 
@@ -268,15 +270,82 @@ def tag_merge(spark, sf_dir):
 
 
 @query(f"{TAGS} SELECT l_linestatus, trans, max(arr) AS arr, count(*) AS n FROM t GROUP BY l_linestatus, trans, arr // 1000")
-def esta_binned(spark, sf_dir):
+def ext_binned(spark, sf_dir):
     return extended.merge_tags(tags(spark, sf_dir), ["l_linestatus"], coarse=1000, fine=1000)
 
 
 @query(f"{TAGS} SELECT l_linestatus, trans, max(arr) AS arr, count(*) AS n FROM t GROUP BY l_linestatus, trans, arr > 40000, CASE WHEN arr > 40000 THEN arr // 100 ELSE arr // 5000 END")
-def esta_slack_binned(spark, sf_dir):
+def ext_slack_binned(spark, sf_dir):
     return extended.merge_tags(tags(spark, sf_dir), ["l_linestatus"], coarse=5000, fine=100, threshold=F.lit(40000))
 
 
+@query(golden([(0, 362), (35, 12), (40, 16), (45, 58), (50, 216), (55, 264), (60, 96)]))
+def ext_majority(spark, sf_dir):
+    return extended.histogram(extended.simulate(spark, inputs.MAJORITY), "o")
+
+
+@query(golden([(0, 68), (30, 4), (35, 32), (40, 72), (50, 32), (55, 48), (60, 0)]))
+def ext_false_path_mux(spark, sf_dir):
+    return tag_ops.weighted(spark, inputs.MUX, "out").groupBy(F.col("arr").alias("delay")).agg(F.sum("n").alias("n"))
+
+
+@query("SELECT 60::BIGINT AS structural, 55::BIGINT AS true_max, 1.0::DOUBLE AS total, true AS whole")
+def tag_total_probability(spark, sf_dir):
+    t = tag_ops.weighted(spark, inputs.MUX, "out")
+    ends = distribution.false_path(t.select(F.lit(0).alias("k"), F.col("arr").alias("delay"), "probability"), ["k"])
+    return ends.join(tag_ops.total_probability(t.withColumn("k", F.lit(0)), ["k"]), "k").drop("k")
+
+
+@query("SELECT true AS within_limit, true AS no_less_than_exact")
+def perm_capped(spark, sf_dir):
+    capped = tag_ops.propagate(spark, inputs.MAJORITY, coarse=10, limit=200).where("net = 'o'").agg(F.max("arr").alias("capped"))
+    exact = tag_ops.propagate(spark, inputs.MAJORITY).where("net = 'o'").agg(F.max("arr").alias("exact"))
+    sizes = extended.cap_bin([{(t, 5 * (t in "RF")): 1 for t in "RFHL"}] * 5, 200, 10)
+    return capped.crossJoin(exact).select((F.lit(math.prod(sizes)) <= 4**5).alias("within_limit"), (F.col("capped") >= F.col("exact")).alias("no_less_than_exact"))
+
+
+@query("SELECT tags, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS fraction FROM (SELECT l_suppkey, count(*) AS tags FROM lineitem GROUP BY 1) GROUP BY tags")
+def tag_counts(spark, sf_dir):
+    t = tag_ops.tag_count_histogram(table(spark, sf_dir, "lineitem").select("l_suppkey"), ["l_suppkey"])
+    return t.select("tags", "n", F.round("fraction", 9).alias("fraction"))
+
+
+@query("""WITH t(x, b, a) AS (VALUES ('R', 0, 1), ('F', 1, 0), ('H', 1, 1), ('L', 0, 0)), v AS (SELECT p.x AS x, q.x AS y, (SELECT x FROM t WHERE t.b = (p.b & q.b) AND t.a = (p.a & q.a)) AS o FROM t p, t q)
+SELECT DISTINCT 0 AS pin, x AS trans_in, o AS trans_out FROM v UNION SELECT DISTINCT 1, y, o FROM v""")
+def active_arcs(spark, sf_dir):
+    return tag_ops.active_arcs(spark, 8, 2)
+
+
+@query("""WITH t(x, a) AS (VALUES ('R', 1), ('F', 0), ('H', 1), ('L', 0)) SELECT p.x AS a, q.x AS b, CASE WHEN p.a = 0 THEN '1' ELSE '' END AS filtered FROM t p, t q""")
+def input_filter(spark, sf_dir):
+    a = extended.assignments(spark, ("a", "b"))
+    pins = F.array(*[F.struct(F.lit(i).cast("long").alias("arr"), F.lit(i).alias("pin"), F.col(c).alias("trans"), F.lit(0).cast("long").alias("delay")) for i, c in enumerate(("a", "b"))])
+    return a.withColumn("pins", pins).select("a", "b", F.concat_ws(",", F.transform(tag_ops.filtered_inputs(8, 2), lambda x: x.cast("string"))).alias("filtered"))
+
+
+@query("""WITH t(x, k) AS (VALUES ('R', 0), ('F', 1), ('H', 2), ('L', 3)) SELECT (row_number() OVER (ORDER BY p.k, q.k) - 1)::BIGINT AS row_no, p.x AS "a:0", q.x AS "b:1", CASE WHEN p.x = 'L' OR q.x = 'L' THEN 'L' WHEN p.x = 'H' THEN q.x WHEN q.x = 'H' THEN p.x WHEN p.x = q.x THEN p.x ELSE 'L' END AS out_class FROM t p, t q""")
+def exhaustive_csv_order(spark, sf_dir):
+    rows = extended.simulate(spark, inputs.AND2)
+    wide = writers.exhaustive(rows, inputs.AND2, "c", numbered=True)
+    exact = truth.transition(F.expr("cast(`a:0` in ('F','H') and `b:1` in ('F','H') as int)"), F.expr("cast(`a:0` in ('R','H') and `b:1` in ('R','H') as int)"))
+    return wide.select("row_no", "a:0", "b:1", exact.alias("out_class"))
+
+
+@query("WITH d AS (SELECT DISTINCT l_linestatus AS src, l_orderkey AS node FROM lineitem), c(sink, arr) AS (VALUES ('F', 3), ('O', 5)), k(src, sink, value) AS (VALUES ('F', 'F', 100), ('F', 'O', -1), ('O', 'F', 7), ('O', 'O', 0)) SELECT node, d.src, c.sink, (arr + value)::INTEGER AS required FROM d, c JOIN k ON k.sink = c.sink WHERE k.src = d.src AND value >= 0")
+def clock_capture(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    data = li.select(F.col("l_orderkey").alias("node"), F.col("l_linestatus").alias("domain"))
+    clocks = data.select("node").distinct().crossJoin(F.broadcast(spark.createDataFrame([("F", 3), ("O", 5)], "domain string, arr int")))
+    return tag_ops.captured(data, clocks, spark.createDataFrame([("F", "F", 100), ("F", "O", -1), ("O", "F", 7), ("O", "O", 0)], "src string, sink string, value int"))
+
+
+@query("SELECT * FROM (VALUES ('q', 'R', 9), ('q', 'F', 9), ('q', 'H', 9), ('q', 'L', 9)) v(net, trans, arr)")
+def clock_tag_launch(spark, sf_dir):
+    clocks = tag_ops.sources(spark, extended.Circuit(("clk", "a"), (), ()), clocks=("clk",))
+    found = tag_ops.launched(clocks, spark.createDataFrame([("clk", "q", 9)], "clock string, net string, delay int"))
+    return found.select("net", "trans", F.col("arr").cast("int").alias("arr"))
+
+
 # --- probability ------------------------------------------------------------------------------------------------
 
 
@@ -455,6 +524,73 @@ def mc_convergence(spark, sf_dir):
     return distribution.prefix_means(li, order, "l_quantity", [10, 100, 1000]).select("n", F.round("mean", 6).alias("mean"))
 
 
+@query("WITH p AS (SELECT l_returnflag AS key, max(l_quantity)::BIGINT AS cpd FROM lineitem GROUP BY 1) SELECT key, 0::BIGINT AS delay, CASE WHEN cpd = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS probability FROM p UNION ALL SELECT key, cpd, 1.0 FROM p WHERE cpd <> 0")
+def sta_step_hist(spark, sf_dir):
+    cpd = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("key")).agg(F.max("l_quantity").cast("long").alias("cpd"))
+    return distribution.step_histogram(cpd, ["key"])
+
+
+@query("WITH v AS (SELECT l_orderkey AS vec, max(l_quantity)::BIGINT AS a, max(l_linenumber)::BIGINT AS b FROM lineitem GROUP BY 1) SELECT vec, greatest(a, b) AS delay FROM v")
+def row_max(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("vec")).agg(F.max("l_quantity").cast("long").alias("a"), F.max("l_linenumber").cast("long").alias("b"))
+    return distribution.row_max([li.select("vec", F.col("a").alias("delay")), li.select("vec", F.col("b").alias("delay"))], ["vec"])
+
+
+@query("WITH r AS (SELECT l_quantity AS q, row_number() OVER (ORDER BY md5(l_orderkey || ':' || l_linenumber || ':' || l_partkey), l_quantity) AS n FROM lineitem), s AS (SELECT n, avg(q) OVER w AS mean, stddev_samp(q) OVER w / sqrt(n) AS error FROM r WINDOW w AS (ORDER BY n ROWS UNBOUNDED PRECEDING)) SELECT min(n) AS n, round(min_by(mean, n), 6) AS mean FROM s WHERE n >= 30 AND 2 * 2.5758293035489004 * error <= 5")
+def mc_search(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    order = [F.md5(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))), F.col("l_quantity")]
+    return search.smallest_sample(li, order, "l_quantity", 5.0).select("n", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT i AS minterm, CASE WHEN i % 2 = 1 THEN '1' ELSE '0' END || CASE WHEN i // 2 % 2 = 1 THEN '1' ELSE '0' END || CASE WHEN i // 4 = 1 THEN '1' ELSE '0' END AS cube FROM range(8) t(i)")
+def minterm_cubes(spark, sf_dir):
+    return spark.range(8).select(F.col("id").alias("minterm"), probability.cube_of(F.col("id"), 3).alias("cube"))
+
+
+@query("SELECT * FROM (VALUES ('and', 0.375), ('or', 0.875), ('not', 0.5), ('minus', 0.375)) v(op, fraction)")
+def sat_fraction(spark, sf_dir):
+    a, b = probability.cubes_to_rows(spark, ["1--", "-1-", "--1"]).where("assignment <> 0"), spark.range(8).select(F.col("id").alias("assignment")).where("assignment % 2 = 1")
+    a = a.where("assignment % 8 <> 0")
+    each = {"and": a.intersect(b).where("assignment <> 1"), "or": a.union(b).distinct(), "not": probability.complement(spark, b, 3), "minus": a.subtract(b)}
+    out = None
+    for op, rows in each.items():
+        one = rows.agg(F.lit(op).alias("op"), (F.count(F.lit(1)) / 8).cast("decimal(4,3)").alias("fraction"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("SELECT 'f' AS f, 0.4375::DOUBLE AS fraction")
+def sat_disjoint(spark, sf_dir):
+    parts = spark.createDataFrame([("f", 0.25), ("f", 0.25)], "f string, fraction double")
+    return probability.disjoint_or(parts, ["f"]).select("f", "fraction")
+
+
+@query("SELECT n::INTEGER AS n, (1::HUGEINT << (2 * n)::INTEGER)::VARCHAR AS cases, round(1e6 / 4.0 ** n, 12) AS fraction FROM range(1, 20) t(n)")
+def exhaustive_cases(spark, sf_dir):
+    n = spark.range(1, 20).select(F.col("id").cast("int").alias("n"))
+    return n.select("n", search.exhaustive_cases(F.col("n")).cast("decimal(38,0)").cast("string").alias("cases"), F.round(F.lit(1e6) / F.pow(F.lit(4.0), "n"), 12).alias("fraction"))
+
+
+@query("SELECT b AS benchmark, kind, CASE WHEN note = '*' THEN mc ELSE ext END AS delay FROM (VALUES ('x', '', 5, 9), ('y', '*', 6, 7)) v(b, note, ext, mc), (VALUES ('mean'), ('max')) k(kind)")
+def run_commands(spark, sf_dir):
+    runs = spark.createDataFrame([("x", "", 5, 9), ("y", "*", 6, 7)], "benchmark string, note string, ext int, mc int")
+    return search.commands(runs).select("benchmark", "kind", "delay")
+
+
+@query("SELECT round(avg(o_totalprice) FILTER (WHERE o_orderstatus = 'O') / avg(o_totalprice) FILTER (WHERE o_orderstatus = 'F'), 9) AS speedup FROM orders")
+def profile_speedup(spark, sf_dir):
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("action"), F.col("o_totalprice").alias("seconds"))
+    return search.speedup(t, "O", "F").select(F.round("speedup", 9).alias("speedup"))
+
+
+@query("SELECT * FROM (VALUES (0, 5, 12.0, 3.0), (1, 5, 9.0, 8.0)) v(domain, node, arr, req)")
+def expected_times(spark, sf_dir):
+    rows = [(0, 0, 5, 10.0, 3.0), (0, 1, 5, 12.0, None), (1, 0, 5, None, 8.0), (1, 1, 5, 9.0, 9.0)]
+    t = spark.createDataFrame(rows, "src_domain int, sink_domain int, node_id int, t_arr double, t_req double")
+    return echo.expected(t)
+
+
 # --- sources --------------------------------------------------------------------------------------------------------
 
 SDF = r'(DELAYFILE (SDFVERSION "2.1") (CELL (CELLTYPE "fpga_interconnect") (INSTANCE routing_segment_a_output_0_0_to_b_input_0_0) (DELAY (ABSOLUTE (IOPATH datain dataout (5:5:5.4) (5:5:5.4))))) (CELL (CELLTYPE "LUT_K") (INSTANCE lut_b) (DELAY (ABSOLUTE (IOPATH in\[0\] out (10:10:10) (10:10:10)) (IOPATH in\[1\] out (20:20:20) (20:20:20)))))) '
@@ -510,3 +646,74 @@ UNION ALL SELECT 2, '"' || src || '" -> "' || dst || '"[label="' || delay || '"]
 def dot_lines(spark, sf_dir):
     e = inputs.edges(spark, sf_dir)
     return writers.dot(graph.nodes_of(e).select("node", F.substring("node", 1, 1).alias("type")), e)
+
+
+@query("SELECT * FROM (VALUES ('fpga_interconnect', 'routing_segment_a_output_0_0_to_b_input_0_0', 0, 5.4::DOUBLE), ('LUT_K', 'lut_b', 0, 10.0), ('LUT_K', 'lut_b', 1, 20.0)) v(celltype, instance, pin, value)")
+def sdf_parse(spark, sf_dir):
+    path = files.scratch(spark, SDF, "delays.sdf")
+    return sdf.iopaths(sdf.read(spark, path)).select("celltype", "instance", "pin", "value")
+
+
+@query("SELECT * FROM (VALUES (0, 'clk', '0'), (5, 'clk', '1'), (9, 'clk', 'x'), (9, 'd', 'z')) v(t, name, val)")
+def vcd_parse(spark, sf_dir):
+    text = "$timescale 1ps $end\n$scope module top $end\n$var wire 1 ! clk $end\n$var reg 1 # d $end\n$upscope $end\n$enddefinitions $end\n#0\n0!\n#5\n1!\n#9\nx!\nz#\n"
+    signals, changes = vcd.read(spark, files.scratch(spark, text, "wave.vcd"))
+    return changes.join(signals.select("run_id", "id", "name"), ["run_id", "id"]).select(F.col("t").cast("int").alias("t"), "name", "val")
+
+
+@query("SELECT * FROM (VALUES ('STA', '1.5'), ('peak', '2048')) v(key, found)")
+def log_scrape(spark, sf_dir):
+    log = "### Start STA\n### End STA after 1.5 sec\nMaximum resident set size (kbytes): 2048\n### End STA after 9 sec\n"
+    return vcd.scraped(files.lines(spark, files.scratch(spark, log, "run.log")), {"STA": r"End STA after ([0-9.]+)", "peak": r"set size .*: ([0-9]+)"}).select("key", "found")
+
+
+@query("SELECT * FROM (VALUES (1, 0.25::DOUBLE), (2, 0.75::DOUBLE)) v(delay, probability)")
+def csv_columns(spark, sf_dir):
+    return files.csv(spark, files.scratch(spark, "delay,other,probability\n1,x,0.25\n2,y,0.75\n", "h.csv"), {"delay": "int", "probability": "double"})
+
+
+@query("SELECT * FROM (VALUES ('a', 0), ('b[1]', 1)) v(name, pos)")
+def names_file(spark, sf_dir):
+    return files.names(spark, files.scratch(spark, "a\n\nb[1]\n", "names.txt")).select("name", "pos")
+
+
+@query("SELECT true AS same")
+def sdf_round_trip(spark, sf_dir):
+    return spark.createDataFrame([(sdf.parse(sdf.printed(sdf.parse(SDF))) == sdf.parse(SDF),)], "same boolean")
+
+
+@query("SELECT true AS same")
+def blif_round_trip(spark, sf_dir):
+    return spark.createDataFrame([(blif.parse(blif.printed(blif.parse(FLIPFLOP))) == blif.parse(FLIPFLOP),)], "same boolean")
+
+
+@query("SELECT * FROM (VALUES ('FF_CLOCK', 'FF_SOURCE'), ('FF_CLOCK', 'FF_SINK')) v(src_type, dst_type)")
+def clock_edges_added(spark, sf_dir):
+    found = spark.createDataFrame([(1, "FF_CLOCK", 7), (2, "FF_SOURCE", 7), (3, "FF_SINK", 7), (4, "FF_SINK", 8)], "node int, type string, block int")
+    e = graph.clock_edges(found)
+    kind = found.select("node", "type")
+    return e.join(kind, F.col("src") == F.col("node")).select(F.col("type").alias("src_type"), "dst").join(kind, F.col("dst") == F.col("node")).select("src_type", F.col("type").alias("dst_type"))
+
+
+@query(f"{PATHS}, l AS (SELECT node, max(level) AS level FROM p GROUP BY node), m AS (SELECT node, row_number() OVER (ORDER BY level, node) - 1 AS new_id FROM l) SELECT new_id AS node, 'input' AS dir, n_nationkey::DOUBLE AS value FROM nation JOIN m ON m.node = concat('N', n_nationkey)")
+def constraint_remap(spark, sf_dir):
+    given = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), "n_nationkey").alias("node"), F.lit("input").alias("dir"), F.col("n_nationkey").cast("double").alias("value"))
+    return graph.remapped(given, graph.relayout(network(spark, sf_dir)[1]))
+
+
+@query("SELECT * FROM (VALUES ('a', 'in'), ('clk', 'in'), ('q', 'out')) v(port, dir)")
+def swept_ports(spark, sf_dir):
+    p = blif.parse(FLIPFLOP.replace(".inputs a clk", ".inputs a clk unused"))
+    t = {k: spark.createDataFrame(p[k], s) for k, s in {"ports": blif.PORTS, "names": blif.NAMES, "latches": blif.LATCHES}.items()}
+    return blif.swept(**t).select("port", "dir")
+
+
+@query(f"WITH e AS ({EDGES}), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e) SELECT node FROM n WHERE node NOT IN (SELECT dst FROM e)")
+def node_selection(spark, sf_dir):
+    return graph.selected(inputs.edges(spark, sf_dir), "pi")
+
+
+@query("WITH t(src, dst) AS (VALUES ('a', 'b'), ('b', 'c')) SELECT 'a' AS node, 'in_a' AS name UNION ALL SELECT 'b', '<unknown>' UNION ALL SELECT 'c', '<unknown>'")
+def node_names(spark, sf_dir):
+    n = spark.createDataFrame([("a",), ("b",), ("c",)], "node string")
+    return netlist.named(n, spark.createDataFrame([("a", "in_a")], "node string, name string"))

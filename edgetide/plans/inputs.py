@@ -46,4 +46,5 @@ def histogram_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 AND2 = Circuit(("a", "b"), ("c",), (gate("c", "a b", "11 1"),))
 AND3 = Circuit(("a", "b", "c"), ("d",), (gate("x", "a b", "11 1"), gate("d", "x c", "11 1")))
-MAJORITY = Circuit(("a", "b", "c", "d", "e"), ("o",), (gate("o", "a b c d e", "---00 0", "-00-0 0"),))
+MAJORITY = Circuit(("a", "b", "c", "d", "e"), ("o",), (gate("o", "a b c d e", "---1- 1", "111-- 1", "11--1 1", "1-1-1 1", "-11-1 1"),))
+MUX = Circuit(("a", "b", "c", "sel"), ("out",), (gate("bi", "b", "0 1"), gate("d", "c bi sel", "011 1", "100 1", "110 1", "111 1"), gate("out", "d a sel", "011 1", "100 1", "110 1", "111 1")))

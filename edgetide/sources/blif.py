@@ -104,3 +104,29 @@ def circuit(text: str) -> Circuit:
     io = {d: tuple(x["port"] for x in p["ports"] if x["model"] == top and x["dir"] == d) for d in ("in", "out")}
     gates = [Gate(n["output"], tuple(n["inputs"]), tuple((c["bits"], c["out"]) for c in n["cover"]), tuple(10 + 10 * i for i in range(len(n["inputs"])))) for n in p["names"] if n["model"] == top]
     return Circuit(io["in"], io["out"], tuple(gates))
+
+
+def printed(parsed: dict[str, list[dict]]) -> str:
+    """A netlist's text, which ``parse`` reads back."""
+    out, models = [], list(dict.fromkeys(r["model"] for k in ("ports", "names", "latches", "subckts") for r in parsed[k]))
+    for m in models:
+        own = {k: [r for r in parsed[k] if r["model"] == m] for k in parsed}
+        out.append(f".model {m}")
+        for kind, word in (("in", ".inputs"), ("out", ".outputs"), ("clock", ".clock")):
+            if found := [p["port"] for p in own["ports"] if p["dir"] == kind]:
+                out.append(" ".join([word, *found]))
+        for n in own["names"]:
+            out.append(" ".join([".names", *n["inputs"], n["output"]]))
+            out += [f"{c['bits']} {c['out']}".strip() for c in n["cover"]]
+        for x in own["latches"]:
+            out.append(" ".join([".latch", x["d"], x["q"], *([x["type"], x["control"]] if x["type"] else []), *([x["init"]] if x["init"] is not None else [])]))
+        out += [" ".join([".subckt", s["type"], *[f"{a}={b}" for a, b in s["conn"].items()]]) for s in own["subckts"]]
+        out.append(".end")
+    return "\n".join([*out, ""])
+
+
+def swept(ports: DataFrame, names: DataFrame, latches: DataFrame) -> DataFrame:
+    """ports without the inputs that nothing reads and the outputs that nothing drives."""
+    read = names.select("model", F.explode("inputs").alias("port")).union(latches.select("model", "d")).union(latches.select("model", "control")).union(ports.where("dir = 'out'").select("model", "port"))
+    driven = names.select("model", F.col("output").alias("port")).union(latches.select("model", "q")).union(ports.where("dir <> 'out'").select("model", "port"))
+    return ports.where("dir <> 'out'").join(read, ["model", "port"], "left_semi").union(ports.where("dir = 'out'").join(driven, ["model", "port"], "left_semi"))

@@ -84,3 +84,9 @@ def read(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of ``parse`` over all files of a path, each row with its file; one task reads a whole file."""
     rows = ship(spark).read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").mapInPandas(_flat, "path string, kind string, row string")
     return {k: rows.where(F.col("kind") == k).select("path", F.from_json("row", s).alias("r")).select("path", "r.*") for k, s in SCHEMAS.items()}
+
+
+def expected(times: DataFrame) -> DataFrame:
+    """(domain, node, arr, req) over all source domains of arr_req rows: the latest arrival and the earliest required time; an
+    unknown time never replaces a known one."""
+    return times.groupBy(F.col("src_domain").alias("domain"), F.col("node_id").alias("node")).agg(F.max("t_arr").alias("arr"), F.min("t_req").alias("req"))

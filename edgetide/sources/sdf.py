@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgetide.staging import ship
 
 _TOKEN = re.compile(r'"[^"]*"|[()]|(?:\\.|[^\s()"\\])+')
 
@@ -70,3 +78,43 @@ def parse(text: str) -> dict:
                     cell[c[0].lower()].append({"port": port(c[1]), "clock": port(c[2]), "value": triple(c[3])})
         cells.append(cell)
     return {"header": header, "cells": cells}
+
+
+TRIPLE = "struct<min: double, typ: double, max: double>"
+PORT = "struct<port: string, cond: string>"
+CHECK = f"array<struct<port: {PORT}, clock: {PORT}, value: {TRIPLE}>>"
+CELLS = f"celltype string, instance string, iopaths array<struct<pos: int, `in`: {PORT}, out: {PORT}, rise: {TRIPLE}, fall: {TRIPLE}>>, setup {CHECK}, hold {CHECK}"
+
+
+def _flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [(p, json.dumps(c)) for p, text in zip(b["path"], b["value"]) for c in parse(text)["cells"]]
+        yield pd.DataFrame(rows, columns=["path", "row"])
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """The cells of all files of a path, each with its file; one task reads a whole file."""
+    rows = ship(spark).read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value").mapInPandas(_flat, "path string, row string")
+    return rows.select("path", F.from_json("row", CELLS).alias("r")).select("path", "r.*")
+
+
+def iopaths(cells: DataFrame) -> DataFrame:
+    """(path, celltype, instance, pin, value, same): the longest delay of each path, and whether rise and fall agree."""
+    each = cells.select("path", "celltype", "instance", F.explode("iopaths").alias("p"))
+    return each.select("path", "celltype", "instance", F.col("p.pos").alias("pin"), F.col("p.rise.max").alias("value"), F.col("p.rise.max").eqNullSafe(F.col("p.fall.max")).alias("same"))
+
+
+def printed(file: dict) -> str:
+    """A delay file's text, which ``parse`` reads back."""
+    number = lambda v: "" if v is None else repr(v)
+    value = lambda t: "(" + ("" if all(v is None for v in t.values()) else ":".join(number(t[k]) for k in ("min", "typ", "max"))) + ")"
+    name = lambda p: f"({p['cond']} {p['port']})" if p["cond"] else escape(p["port"])
+    out = ["(DELAYFILE"] + [f'  ({k.upper()} "{v}")' for k, v in file["header"].items()]
+    for c in file["cells"]:
+        out.append(f'  (CELL (CELLTYPE "{c["celltype"]}") (INSTANCE {escape(c["instance"] or "")})')
+        if c["iopaths"]:
+            out += ["    (DELAY (ABSOLUTE", *[f"      (IOPATH {name(p['in'])} {name(p['out'])} {value(p['rise'])} {value(p['fall'])})" for p in c["iopaths"]], "    ))"]
+        checks = [f"      ({kind.upper()} {name(x['port'])} {name(x['clock'])} {value(x['value'])})" for kind in ("setup", "hold") for x in c[kind]]
+        out += ["    (TIMINGCHECK", *checks, "    )"] if checks else []
+        out.append("  )")
+    return "\n".join([*out, ")", ""])
