@@ -35,7 +35,7 @@ ALL_KINDS = (*KINDS, "secret")
 #: Candidates that the classifier is trained on at most (about; chosen by a hash of row and place).
 TRAIN_SPANS = 20_000
 BITS = 14
-#: Texts without any of these have no span and no candidate.
+#: Texts without any of these, a digit or one of @ = : have no span and no candidate.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -60,8 +60,8 @@ CONTEXT = {
     "phone": frozenset("phone tel telephone call mobile fax cell telefon contact numero anruf handy portable llamar movil".split()),
     "secret": frozenset("password passwd pwd passwort clave contrasena token secret key apikey api auth bearer credential credentials access private motdepasse schluessel".split()),
 }
-#: Texts without any of these have no span and no candidate.
-ANY_SIGN = "[0-9@=:]| dot |\\(dot\\)|\\[dot\\]|" + "|".join(re.escape(x) for x in SECRET_STARTS)
+#: Texts without any of these, a digit or one of @ = : have no span and no candidate.
+ANY_SIGN = ("dot", *SECRET_STARTS)
 #: Tokens that begin in a known way need no digit.
 _MARKED = re.compile("(?<![A-Za-z0-9+/_=-])(?:" + "|".join(re.escape(x) for x in SECRET_STARTS) + ")[A-Za-z0-9+/_-]{12,200}")
 #: Lengths in code points that a kind usually has.
@@ -324,7 +324,10 @@ def candidate_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_base, base_sha256 and spans (with votes and features) of every row, staged."""
     prepare(docs.sparkSession)
     # texts without a sign of any span are not handed to Python
-    text = F.when(F.col("text").rlike(ANY_SIGN), F.col("text")).alias("text")
+    sign = F.col("text").rlike("[0-9@=:]")
+    for x in ANY_SIGN:
+        sign = sign | F.contains(F.col("text"), F.lit(x))
+    text = F.when(sign, F.col("text")).alias("text")
     return stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(_find, "doc_id long, " + FOUND), "pii-spans")
 
 
