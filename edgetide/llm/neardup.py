@@ -6,8 +6,8 @@
    class follows ``picks`` tokens at positions drawn from the node's own hash, so classes of similarity s stay
    together somewhere below with probability q = 1 - (1 - s q) ** picks, whatever the depth; ``trees``
    independent trees bring that to the recall wanted. Nodes of at most ``leaf`` classes are compared
-   exhaustively on byte sketches of their tokens; nodes that hardly shrink are dense and are linked to pivots,
-   and what a pivot leaves is compared block by block.
+   exhaustively on byte sketches of their tokens; nodes that hardly shrink are dense and are linked to pivots;
+   what the pivots leave, and the members of different pivots, are compared block by block.
 3. The sketch links (a similarity well below the threshold) tie classes to groups, so that each class that has
    a candidate belongs to one group. Full sets are read again for those classes only, and links are confirmed
    by exact integer counts inside the groups. Only a spanning forest of the links leaves a task.
@@ -162,6 +162,11 @@ class Sketches:
     def pairs(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return (x[i] == x[j]).sum(axis=1) >= self.least
 
+    def close(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row by row: linked? As close as the two ends of two links, at least?"""
+        agree = (a == b).sum(axis=1)
+        return agree >= self.least, agree >= 2 * self.least - TOKENS
+
     def matrix(self, x: np.ndarray, rows: slice, cols: slice) -> np.ndarray:
         a, b = x[rows], x[cols]
         agree = np.zeros((len(a), len(b)), np.uint8)
@@ -191,6 +196,12 @@ class Sets:
         size = np.array([len(s) for s in x], np.int64)
         return self.enough(n, size[i], size[j])
 
+    def close(self, a, b):
+        """As for sketches; one minus the similarity is a metric, so over two links the differences add up at most."""
+        n = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b)], np.int64)
+        either = np.array([len(x) + len(y) for x, y in zip(a, b)], np.int64) - n
+        return self.den * n >= self.num * either, self.den * n >= (2 * self.num - self.den) * either
+
     def matrix(self, x, rows, cols, width: int = 4096):
         """Through 0/1 matrices over the shingles that both sides have, ``width`` columns at a time."""
         left, right = list(x[rows]), list(x[cols])
@@ -274,20 +285,15 @@ def _within(compare, key: str, tiny: int = 8):
 
 
 def _star(compare):
-    """Rows with a member's and its pivot's payload: is the member linked to the pivot?"""
+    """Rows with a member's and a pivot's payload: is the member linked to the pivot, or near enough for a link to one that is?"""
 
     def each(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = compare.read(batch.column("payload")), compare.read(batch.column("pivot_payload"))
-            n = len(a)
-            if isinstance(compare, Sketches):
-                good = (a == b).sum(axis=1) >= compare.least
-            else:
-                both = np.concatenate([a, b])
-                good = compare.pairs(both, np.arange(n), np.arange(n) + n)
-            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("vid"), batch.column("pivot"), pa.array(good)], names=["grp", "vid", "pivot", "linked"])
+            linked, near = compare.close(compare.read(batch.column("payload")), compare.read(batch.column("pivot_payload")))
+            made = {c: batch.column(c) for c in ("grp", "vid", "home", "s", "pivot")} | {"linked": pa.array(linked), "near": pa.array(near)}
+            yield pa.RecordBatch.from_arrays([*made.values()], names=[*made])
 
     return each
 
@@ -318,12 +324,68 @@ def _across(compare):
     return each
 
 
+def _met(members: DataFrame, pivots: DataFrame, payloads: DataFrame, compare) -> DataFrame:
+    """members (grp, vid, home, s) beside the pivots (grp, s, pivot, pivot_payload) of their group."""
+    side = F.broadcast(pivots) if fits(pivots, "pivot_payload", 2000) else pivots
+    pairs = payloads.select("vid", "payload").join(lookup(members), "vid").join(side, ["grp", "s"])
+    pairs = pairs.select("grp", "vid", "home", "s", "pivot", "payload", "pivot_payload")
+    return stage(pairs.mapInArrow(_star(compare), "grp long, vid long, home int, s int, pivot long, linked boolean, near boolean"), "group-stars")
+
+
+def _between_homes(rounds: list[DataFrame], pivots: list[DataFrame], payloads: DataFrame, compare, limit: int) -> list[DataFrame]:
+    """Links that large groups have beside those to a member's own pivot; ``rounds`` holds the rows of each round."""
+    seen, heads = rounds[0], pivots[0]
+    for r, p in zip(rounds[1:], pivots[1:]):
+        seen, heads = seen.unionByName(r), heads.unionByName(p)
+    first = F.coalesce(F.max(F.when(F.col("linked"), F.col("s"))), F.lit(0))
+    homes = stage(seen.groupBy("grp", "vid").agg(first.alias("was"), F.collect_set(F.when(F.col("near"), F.col("s"))).alias("near")), "group-homes")
+    # a later home that makes no block of its own is given up: its members are compared like those without one
+    held = homes.where("was > 0").groupBy("grp", "was").agg(F.count(F.lit(1)).alias("size")).where(f"was = 1 or size > {limit}")
+    held = stage(held.select("grp", "was", F.col("was").alias("home")), "group-held")
+    homes = homes.join(lookup(held), ["grp", "was"], "left").withColumn("home", F.coalesce("home", F.lit(0)))
+    pair, edges = ["grp", "lo", "hi"], []
+    later = held.where("home > 1").select("grp", F.col("home").alias("s"))
+    if joins := not later.isEmpty():
+        # members of a home have not met the pivots after it
+        ask = stage(homes.where("was > 0").select("grp", "vid", "home", "was").join(lookup(later), "grp").where("was < s").drop("was"), "group-asked")
+        met = _met(ask, stage(heads.join(lookup(later), ["grp", "s"], "left_semi"), "group-pivots"), payloads, compare)
+        joined = met.where("linked and home > 0").groupBy("grp", F.col("home").alias("lo"), F.col("s").alias("hi"))
+        joined = stage(joined.agg(F.min("vid").alias("a"), F.min("pivot").alias("b")), "group-joined")
+        edges.append(joined.select("a", "b"))
+        more = met.where("near").groupBy("grp", "vid").agg(F.collect_set("s").alias("more"))
+        homes = homes.join(more, ["grp", "vid"], "left").withColumn("near", F.array_union("near", F.coalesce("more", F.array().cast("array<int>"))))
+    sides = homes.select("grp", "vid", "home", F.explode(F.array_union(F.array(F.lit(0)), "near")).alias("other")).where("home = 0 or other <> home")
+    sides = sides.where("other = 0").unionByName(sides.where("other > 0").join(lookup(held.select("grp", F.col("home").alias("other"))), ["grp", "other"], "left_semi"))
+    sides = sides.select("grp", "vid", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), (F.col("home") <= F.col("other")).alias("block"))
+    if joins:
+        sides = sides.join(lookup(joined.select(*pair)), pair, "left_anti")
+    sides = stage(sides, "group-sides")
+    # members without a home are both sides of their own comparison
+    sides = sides.unionByName(sides.where("hi = 0").withColumn("block", F.lit(False)))
+    number = lambda own: F.ceil(F.count(F.when(F.col("block") == F.lit(own), 1)) / limit).cast("int")
+    grid = stage(sides.groupBy(*pair).agg(number(True).alias("blocks"), number(False).alias("chunks")).where("blocks > 0 and chunks > 0"), "group-grid")
+    if not grid.isEmpty():
+        placed = sides.join(lookup(grid), pair)
+        spot = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = placed.where("block").withColumn("i", spot("blocks")).withColumn("j", every("chunks"))
+        other = placed.where("not block").withColumn("j", spot("chunks")).withColumn("i", every("blocks"))
+        cells = own.unionByName(other).where("hi > 0 or i <= j")
+        cells = stage(cells.select(F.xxhash64(*pair, "i", "j").alias("cell"), "vid", "block"), "group-cells")
+        cells = payloads.select("vid", "payload").join(lookup(cells), "vid")
+        edges.append(stage(cells.repartition("cell").sortWithinPartitions("cell", "vid").select("cell", "vid", "block", "payload").mapInArrow(_across(compare), EDGE), "links-blocks"))
+    return edges
+
+
 def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, stars: int = 3) -> DataFrame:
     """Links inside groups: members (grp, vid[, payload]), payloads (vid, payload) to edges (a, b) that connect what links connect.
 
-    Groups of at most ``limit`` are compared in one task each. A larger group is first tied to pivots, one after
-    the other; members that no pivot takes are dealt into blocks of ``limit`` and compared with blocks of all
-    members, each pair of blocks a task of its own. Rows are never brought together by a large group's key.
+    Groups of at most ``limit`` are compared in one task each. A larger group is first tied to pivots, one after the
+    other: the members that are linked to a pivot are at home with it, and the others meet the next one. Then members
+    without a home are compared with each other and with those of every home, and the members of every two homes, save
+    where one that is linked to both pivots joins them: in blocks of ``limit``, each pair of blocks a task of its own.
+    Whoever is linked to a member of a home is near its pivot, so all others are left out of those blocks. Rows are never
+    brought together by a large group's key.
     """
     sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "group-sizes")
     known = members.join(lookup(sizes), "grp")
@@ -334,27 +396,22 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
     edges = [stage(small.mapInArrow(_within(compare, "grp"), EDGE), "links-small")]
     large = known.where(F.col("size") > limit).select("grp", "vid")
     if not sizes.where(F.col("size") > limit).isEmpty():
-        large = stage(large, "group-large")
-        rest = large
-        for _ in range(stars):
-            pivots = rest.groupBy("grp").agg(F.min("vid").alias("pivot"))
-            pivots = payloads.select(F.col("vid").alias("pivot"), F.col("payload").alias("pivot_payload")).join(lookup(stage(pivots, "group-heads")), "pivot")
-            pivots = stage(pivots.select("grp", "pivot", "pivot_payload"), "group-pivots")
-            side = F.broadcast(pivots) if fits(pivots, "pivot_payload", 2000) else pivots
-            pairs = payloads.select("vid", "payload").join(lookup(rest), "vid").join(side, "grp")
-            seen = stage(pairs.select("grp", "vid", "pivot", "payload", "pivot_payload").mapInArrow(_star(compare), "grp long, vid long, pivot long, linked boolean"), "group-stars")
-            edges.append(seen.where("linked and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")))
-            rest = stage(seen.where("not linked").select("grp", "vid"), "group-rest")
-        left = stage(rest.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("blocks")), "group-left")
-        if not left.isEmpty():
-            chunks = large.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("chunks"))
-            grid = stage(left.join(chunks, "grp"), "group-grid")
-            spot = lambda n: F.pmod(F.xxhash64("vid"), F.col(n)).cast("int")
-            own = rest.join(lookup(grid), "grp").withColumn("i", spot("blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("block", F.lit(True))
-            other = large.join(lookup(grid), "grp").withColumn("j", spot("chunks")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block", F.lit(False))
-            cells = stage(own.unionByName(other).select(F.xxhash64("grp", "i", "j").alias("cell"), "vid", "block"), "group-cells")
-            cells = payloads.select("vid", "payload").join(lookup(cells), "vid")
-            edges.append(stage(cells.repartition("cell").sortWithinPartitions("cell", "vid").select("cell", "vid", "block", "payload").mapInArrow(_across(compare), EDGE), "links-blocks"))
+        rest = stage(large, "group-large")
+        rounds, pivots = [], []
+        for s in range(1, stars + 1):
+            heads = stage(rest.groupBy("grp").agg(F.min("vid").alias("pivot")), "group-heads")
+            if heads.isEmpty():
+                break
+            heads = payloads.select(F.col("vid").alias("pivot"), F.col("payload").alias("pivot_payload")).join(lookup(heads), "pivot")
+            pivots.append(stage(heads.select("grp", F.lit(s).alias("s"), "pivot", "pivot_payload"), "group-pivots"))
+            rounds.append(_met(rest.withColumns({"home": F.lit(0), "s": F.lit(s)}), pivots[-1], payloads, compare))
+            edges.append(rounds[-1].where("linked and vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b")))
+            rest = stage(rounds[-1].where("not linked").select("grp", "vid"), "group-rest")
+        if len(rounds) > 1 or not rest.isEmpty():
+            # a group that its first pivot takes whole is done
+            left = stage(rounds[0].where("not linked").select("grp").distinct(), "group-left")
+            rounds[0] = rounds[0].join(lookup(left), "grp", "left_semi")
+            edges += _between_homes(rounds, pivots, payloads, compare, limit)
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)

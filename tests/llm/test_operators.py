@@ -92,6 +92,47 @@ def test_large_groups_are_split(spark):
     assert {k for k, v in got.items() if v == 0} == seen
 
 
+def reach(ids, linked):
+    """The least id that each id reaches over the pairs (a, b) for which ``linked`` holds."""
+    label = {i: i for i in ids}
+    pairs = [(a, b) for a, b in combinations(ids, 2) if linked(a, b)]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    return label
+
+
+def test_links_between_the_members_of_two_pivots(spark):
+    """Windows of one text: starts 0 to 6 are linked, 13 to 19 are, and between them 6 and 13 alone."""
+    w = words(119, 21).split()
+    d = spark.createDataFrame([(i, " ".join(w[i : i + 100])) for i in [*range(7), *range(13, 20)]], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(d, 3, 85, 100, leaf=8).collect()}
+    assert got == {i: 0 for i in got} and len(got) == 14
+
+
+def test_group_links_against_all_pairs(spark):
+    """Groups above the limit, each a row of two to five clusters of which only the outermost members are linked, or scattered."""
+    r = random.Random(5)
+    places = [(g, 13 * c + o) for g in range(4) for c in range(g + 2) for o in [*range(7)] * 2] + [(4, r.randrange(120)) for _ in range(60)] + [(5, r.randrange(40)) for _ in range(6)]
+    at = dict(zip(r.sample(range(1000), len(places)), places))
+    sets = {v: set(range(s, s + 98)) for v, (_, s) in at.items()}
+    steps = {v: (np.arange(128) < s).astype(np.uint8) for v, (_, s) in at.items()}
+    kinds = [
+        (neardup.Sets(85, 100), lambda v: np.array(sorted(sets[v]), np.uint64), lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])),
+        (neardup.Sketches(121), lambda v: steps[v], lambda a, b: (steps[a] == steps[b]).sum() >= 121),
+    ]
+    for compare, pack, exact in kinds:
+        rows = spark.createDataFrame([(g, v, pack(v).tobytes()) for v, (g, _) in at.items()], "grp long, vid long, payload binary")
+        want = reach(at, lambda a, b: at[a][0] == at[b][0] and exact(a, b))
+        for stars in (1, 3):
+            found = {frozenset((e.a, e.b)) for e in neardup.link_groups(rows, rows.select("vid", "payload"), compare, 7, stars).collect()}
+            assert reach(at, lambda a, b: frozenset((a, b)) in found) == want
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
