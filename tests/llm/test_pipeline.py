@@ -77,3 +77,19 @@ def test_run(spark, folder):
     ids = [r.doc_id for r in out]
     assert {62, 63} <= set(ids) and 64 not in ids and ids.count(61) == 1 and all(not 100 <= (i or 0) < 180 for i in ids)
     assert sum(r.taken for r in out) > 0 and TOXIC_FROM == 0.3
+
+
+def test_near_duplicates_joined_by_one_link_in_a_large_group(spark, folder):
+    """Two texts that are linked, each with 300 copies in which a word differs: no copy of the one is linked to the other's."""
+    base = words(200, 40).split()
+    one, two = base, base[:-21] + words(21, 41).split()
+    rows = []
+    for k in range(602):
+        w = list(one if k % 2 else two)
+        if k > 1:
+            w[10 + k // 2 % 160] = f"other{k}"
+        rows.append((1000 - k, " ".join(w), "en", "a", k))
+    assert 5 * len(shingles(rows[0][1]) & shingles(rows[1][1])) >= 4 * len(shingles(rows[0][1]) | shingles(rows[1][1]))
+    assert all(5 * len(shingles(rows[0][1]) & shingles(t)) < 4 * len(shingles(rows[0][1]) | shingles(t)) for _, t, *_ in rows[3::2])
+    near = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), folder[0])
+    assert [r.doc_id for r in near.collect()] == [399]
