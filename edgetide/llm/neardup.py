@@ -62,8 +62,9 @@ def _profile(k: int, with_sets: bool):
                     made["payload"] = pa.array([s.tobytes() for s in sets], pa.binary())
                 else:
                     tokens = textkit.minhash(flat, at, factors)
-                    made["tokens"] = pa.array([r.tobytes() for r in tokens], pa.binary())
-                    made["sketch"] = pa.array([r.tobytes() for r in (tokens & 0xFF).astype(np.uint8)], pa.binary())
+                    parts = tokens.astype("<u4").view(np.uint8).reshape(len(tokens), TOKENS, 4)
+                    made["sketch"] = pa.array([r.tobytes() for r in parts[:, :, 0]], pa.binary())
+                    made["high"] = pa.array([r.tobytes() for r in parts[:, :, 1:]], pa.binary())
                 rows = batch.slice(lo, hi - lo)
                 kept = {c: rows.column(c) for c in rows.schema.names if c != "text"} | made
                 yield pa.RecordBatch.from_arrays([*kept.values()], names=[*kept])
@@ -81,9 +82,10 @@ def portions(starts: np.ndarray, ends: np.ndarray, size: int = 2 << 20) -> Itera
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, keys of the text (t1, t2), n_shingles, fingerprint (fa, fb) and minwise tokens of every row."""
+    """doc_id, keys of the text (t1, t2), n_shingles, fingerprint (fa, fb) and minwise tokens of every row: their low bytes
+    (sketch) and the three bytes above (high)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(), "text")
-    return rows.mapInArrow(_profile(k, False), "doc_id long, t1 long, t2 long, n_shingles long, fa long, fb long, tokens binary, sketch binary")
+    return rows.mapInArrow(_profile(k, False), "doc_id long, t1 long, t2 long, n_shingles long, fa long, fb long, sketch binary, high binary")
 
 
 # --- trees -------------------------------------------------------------------------------------------------
@@ -127,11 +129,16 @@ def _tops(trees: int, picks: int) -> list[np.uint64]:
     return out
 
 
-def _table(column: pa.Array, kind: type) -> np.ndarray:
-    """Rows of TOKENS numbers each."""
+def _table(column: pa.Array, width: int = TOKENS) -> np.ndarray:
+    """Rows of ``width`` bytes each."""
     data, starts, _ = textkit.view(column)
-    n, width = len(starts), TOKENS * np.dtype(kind).itemsize
-    return np.frombuffer(data[int(starts[0]) : int(starts[0]) + n * width].tobytes(), kind).reshape(n, TOKENS) if n else np.zeros((0, TOKENS), kind)
+    n = len(starts)
+    return np.frombuffer(data[int(starts[0]) : int(starts[0]) + n * width].tobytes(), np.uint8).reshape(n, width) if n else np.zeros((0, width), np.uint8)
+
+
+def _tokens(batch: pa.RecordBatch) -> np.ndarray:
+    low, high = _table(batch.column("sketch")), _table(batch.column("high"), 3 * TOKENS)
+    return np.concatenate([low[:, :, None], high.reshape(len(low), TOKENS, 3)], axis=2).reshape(len(low), 4 * TOKENS).view("<u4")
 
 
 def _roots(trees: int, picks: int):
@@ -142,7 +149,7 @@ def _roots(trees: int, picks: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens, vid = _table(batch.column("tokens"), np.uint32), batch.column("vid").to_numpy()
+            tokens, vid = _tokens(batch), batch.column("vid").to_numpy()
             for top in tops:
                 node = np.full(len(vid), top)
                 for first in _children(node, tokens, picks).T:
@@ -158,7 +165,7 @@ def _branch(picks: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens, vid = _table(batch.column("tokens"), np.uint32), batch.column("vid").to_numpy()
+            tokens, vid = _tokens(batch), batch.column("vid").to_numpy()
             node = batch.column("node").to_numpy().view(np.uint64)
             size = batch.column("size").to_numpy()
             below = _children(node, tokens, picks)
@@ -168,6 +175,46 @@ def _branch(picks: int):
     return each
 
 
+def _gathered(leaf: int):
+    """Rows sorted by node and vid to nodes of two members or more, with lists of at most ``leaf`` of them."""
+
+    def each(batches):
+        for batch in whole_groups(batches, "node"):
+            node, vid, above = (batch.column(c).to_numpy() for c in ("node", "vid", "above"))
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            size = np.diff(np.r_[first, len(node)])
+            more = size > 1
+            member, first, size = np.repeat(more, size), first[more], size[more]
+            lists = -(-size // leaf)
+            of = np.repeat(np.arange(len(size)), lists)
+            nth, _ = textkit.runs(np.zeros(len(size), np.int64), lists)
+            ends = np.cumsum(np.r_[0, np.minimum(leaf, size[of] - nth * leaf)])
+            members = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(vid[member], pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(node[first][of]), pa.array(size[of], pa.int64()), pa.array(above[first][of]), members], names=["node", "size", "above", "members"])
+
+    return each
+
+
+def nodes_of(rows: DataFrame, leaf: int, share: int = 128, drawn: int = 24) -> DataFrame:
+    """rows (node, vid, above), staged, to the nodes of two members or more: (node, size, above, members), where a node's members
+    are lists of at most ``leaf`` in one row or several.
+
+    The rows are shuffled once, whatever joins are broadcast. One row in ``share`` is looked at first: a node that shows
+    ``drawn`` members there is counted where its rows are, and its members are never brought together.
+    """
+    shown = rows.where(F.pmod(F.xxhash64("vid", "node"), F.lit(share)) == 0).groupBy("node").agg(F.count(F.lit(1)).alias("shown"))
+    crowds = stage(shown.where(F.col("shown") >= drawn).select("node"), "tree-crowds")
+    crowded = not crowds.isEmpty()
+    others = rows.join(lookup(crowds), "node", "left_anti") if crowded else rows
+    others = others.select("node", "vid", "above").repartition("node").sortWithinPartitions("node", "vid")
+    found = others.mapInArrow(_gathered(leaf), "node long, size long, above long, members array<long>")
+    if crowded:
+        sizes = rows.join(lookup(crowds), "node").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above"))
+        whole = rows.select("node", "vid").join(lookup(stage(sizes.where("size > 1"), "tree-sizes")), "node")
+        found = found.unionByName(whole.select("node", "size", "above", F.array("vid").alias("members")))
+    return stage(found, "tree-nodes")
+
+
 # --- comparing the members of groups -----------------------------------------------------------------------
 
 
@@ -178,7 +225,7 @@ class Sketches:
         self.least = least
 
     def read(self, column: pa.Array) -> np.ndarray:
-        return _table(column, np.uint8)
+        return _table(column)
 
     def pairs(self, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return (x[i] == x[j]).sum(axis=1) >= self.least
@@ -399,7 +446,8 @@ def _between_homes(rounds: list[DataFrame], pivots: list[DataFrame], payloads: D
 
 
 def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, stars: int = 3) -> DataFrame:
-    """Links inside groups: members (grp, vid[, payload]), payloads (vid, payload) to edges (a, b) that connect what links connect.
+    """Links inside groups: members (grp, vid[, payload][, size]), payloads (vid, payload) to edges (a, b) that connect what links
+    connect. ``size`` is the number of members of a group, two at least; where it isn't given, members are counted.
 
     Groups of at most ``limit`` are compared in one task each. A larger group is first tied to pivots, one after the
     other: the members that are linked to a pivot are at home with it, and the others meet the next one. Then members
@@ -408,8 +456,10 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
     Whoever is linked to a member of a home is near its pivot, so all others are left out of those blocks. Rows are never
     brought together by a large group's key.
     """
-    sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "group-sizes")
-    known = members.join(lookup(sizes), "grp")
+    sizes = known = members
+    if "size" not in members.columns:
+        sizes = stage(members.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "group-sizes")
+        known = members.join(lookup(sizes), "grp")
     small = known.where(F.col("size") <= limit)
     if "payload" not in members.columns:
         small = small.join(payloads, "vid")
@@ -442,23 +492,36 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
 # --- the join ----------------------------------------------------------------------------------------------
 
 
-def candidate_groups(classes: DataFrame, least: int, trees: int, picks: int, leaf: int, depth: int) -> DataFrame:
-    """Chosen-path trees over classes (vid, tokens, sketch): (vid, root) of the groups that sketch links make."""
-    rows = stage(classes.select("vid", "tokens").mapInArrow(_roots(trees, picks), "node long, vid long"), "tree-roots").withColumn("above", F.lit(1 << 62))
-    members = None
+def tree_groups(classes: DataFrame, trees: int, picks: int, leaf: int, depth: int) -> DataFrame:
+    """Chosen-path trees over classes (vid, sketch, high): (grp, vid, size) of the nodes where the trees end.
+
+    A close pair is together in many nodes of many trees: of the nodes with the same members (at most ``leaf``) one stays.
+    """
+    tokens = classes.select("vid", "sketch", "high")
+    rows = stage(tokens.mapInArrow(_roots(trees, picks), "node long, vid long"), "tree-roots").withColumn("above", F.lit(1 << 62))
+    ended = None
     for level in range(depth):
-        sizes = stage(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.max("above").alias("above")).where("size > 1"), "tree-sizes")
-        now = rows.select("node", "vid").join(lookup(sizes), "node")
+        nodes = nodes_of(rows, leaf)
         # a node that keeps over half of the node above it is dense: going on down would not take it apart
         ends = (F.col("size") <= leaf) | ((F.col("size") * 2 > F.col("above")) if level else F.lit(False)) | F.lit(level == depth - 1)
-        found = now.where(ends).select(F.col("node").alias("grp"), "vid")
-        members = found if members is None else members.unionByName(found)
-        if level == depth - 1 or sizes.where(~ends).isEmpty():
+        ended = nodes.where(ends) if ended is None else ended.unionByName(nodes.where(ends))
+        if level == depth - 1 or nodes.where(~ends).isEmpty():
             break
         # few go deeper: their tokens are looked up, all others stay where they are
-        deeper = classes.select("vid", "tokens").join(lookup(stage(now.where(~ends), "tree-deep")), "vid").select("node", "vid", "size", "tokens")
+        deep = stage(nodes.where(~ends).select("node", F.explode("members").alias("vid"), "size"), "tree-deep")
+        if not level:
+            tokens = stage(tokens.join(lookup(stage(deep.select("vid").distinct(), "tree-below")), "vid", "left_semi"), "tree-tokens")
+        deeper = tokens.join(lookup(deep), "vid").select("node", "vid", "size", "sketch", "high")
         rows = stage(deeper.mapInArrow(_branch(picks), "node long, vid long, above long"), "tree-level")
-    members = stage(members, "tree-leaves")
+    whole = F.size("members") == F.col("size")
+    once = ended.where(whole).groupBy("members").agg(F.min("node").alias("grp")).select("grp", F.size("members").cast("long").alias("size"), "members")
+    parts = ended.where(~whole).select(F.col("node").alias("grp"), "size", "members")
+    return stage(once.unionByName(parts).select("grp", F.explode("members").alias("vid"), "size"), "tree-leaves")
+
+
+def candidate_groups(classes: DataFrame, least: int, trees: int, picks: int, leaf: int, depth: int) -> DataFrame:
+    """(vid, root) of the groups that sketch links make inside the nodes of the trees."""
+    members = tree_groups(classes, trees, picks, leaf, depth)
     return stage(components(link_groups(members, classes.select("vid", F.col("sketch").alias("payload")), Sketches(least), leaf)), "candidate-groups")
 
 
@@ -479,7 +542,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
     seen = stage(profiles(docs, words), "profiles")
     key = ["fa", "fb", "n_shingles"]
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "t1", "t2")
-    named = seen.where("n_shingles > 0").groupBy(*key).agg(F.min(place).alias("label"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    named = seen.where("n_shingles > 0").groupBy(*key).agg(F.min(place).alias("label"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("high").alias("high"))
     classes = stage(named.withColumn("vid", F.monotonically_increasing_id()), "classes")
     groups = candidate_groups(classes, floor_of(num, den), trees, picks, leaf, depth)
     sets = stage(_sets(docs, classes.select("vid", "label", "copies", *key), groups, words, seen), "sets")

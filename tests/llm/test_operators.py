@@ -5,14 +5,17 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 from os.path import commonprefix
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from edgetide.llm import decontam, langid, linededup, mixing, neardup, pii, quality, topk, toxicity, warc
 from edgetide.llm.components import components
+from edgetide.llm.runtime import stage
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fa long, vid long"
 
@@ -133,6 +136,54 @@ def test_group_links_against_all_pairs(spark):
             assert reach(at, lambda a, b: frozenset((a, b)) in found) == want
 
 
+def test_nodes_against_a_plain_count(spark):
+    """Nodes of one member, of two, of more than a list holds, and one so crowded that its rows stay where they are."""
+    r = random.Random(8)
+    rows = [(n, v, n % 7) for n, size in [(k, r.choice([1, 1, 2, 3, 9])) for k in range(300)] + [(-5, 6000)] for v in r.sample(range(9000), size)]
+    members = {}
+    for n, v, _ in rows:
+        members.setdefault(n, []).append(v)
+    given = stage(spark.createDataFrame(rows, "node long, vid long, above long").repartition(5), "given")
+    found, lists = {}, Counter()
+    for x in neardup.nodes_of(given, 4).collect():
+        assert x.above == x.node % 7 and x.size == len(members[x.node]) and len(x.members) <= 4
+        found.setdefault(x.node, []).extend(x.members)
+        lists[x.node] += 1
+    assert {n: sorted(v) for n, v in found.items()} == {n: sorted(v) for n, v in members.items() if len(v) > 1}
+    assert all(lists[n] == -(-len(v) // 4) for n, v in found.items() if n >= 0) and lists[-5] == 6000
+    assert neardup.nodes_of(given.limit(0), 4).count() == 0
+
+
+def test_shuffle_is_no_other_where_no_join_is_broadcast(spark, monkeypatch):
+    """Lookup sides outgrow a broadcast as tables grow. Then the rows of the trees may not be shuffled again, nor be compared in
+    every tree that brings the same ones together."""
+    rows = []
+    for i in range(800):
+        w = words(60, i).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[1:]))]
+    classes = neardup.profiles(spark.createDataFrame(rows, "doc_id long, text string"), 3).withColumn("vid", F.col("doc_id"))
+    classes = stage(classes, "classes")
+    context = spark.sparkContext._jsc.sc()
+
+    def moved():
+        context.listenerBus().waitUntilEmpty()
+        known = context.statusStore().executorList(False)
+        return sum(known.apply(i).totalShuffleWrite() for i in range(known.size()))
+
+    took, threshold = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how in (neardup.lookup, lambda df: df):
+            monkeypatch.setattr(neardup, "lookup", how)
+            before = moved()
+            got = neardup.candidate_groups(classes, neardup.floor_of(85, 100), 10, 2, 512, 12)
+            assert {frozenset((r.id, r.root)) for r in got.collect()} >= {frozenset((2 * i, 2 * i + 1)) for i in range(800)}
+            took.append(moved() - before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert took[1] < 1.5 * took[0]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
