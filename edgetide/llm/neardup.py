@@ -422,8 +422,10 @@ def _between_homes(rounds: list[DataFrame], pivots: list[DataFrame], payloads: D
         edges.append(joined.select("a", "b"))
         more = met.where("near").groupBy("grp", "vid").agg(F.collect_set("s").alias("more"))
         homes = homes.join(more, ["grp", "vid"], "left").withColumn("near", F.array_union("near", F.coalesce("more", F.array().cast("array<int>"))))
-    sides = homes.select("grp", "vid", "home", F.explode(F.array_union(F.array(F.lit(0)), "near")).alias("other")).where("home = 0 or other <> home")
-    sides = sides.where("other = 0").unionByName(sides.where("other > 0").join(lookup(held.select("grp", F.col("home").alias("other"))), ["grp", "other"], "left_semi"))
+    # a member's own home is none of the others; each member is read once
+    others = F.array_union(F.array(F.lit(0)), F.array_except("near", F.array("home")))
+    kept = held.select("grp", F.col("home").alias("other"), F.lit(True).alias("kept"))
+    sides = homes.select("grp", "vid", "home", F.explode(others).alias("other")).join(lookup(kept), ["grp", "other"], "left").where("other = 0 or kept")
     sides = sides.select("grp", "vid", F.least("home", "other").alias("lo"), F.greatest("home", "other").alias("hi"), (F.col("home") <= F.col("other")).alias("block"))
     if joins:
         sides = sides.join(lookup(joined.select(*pair)), pair, "left_anti")
@@ -492,10 +494,29 @@ def link_groups(members: DataFrame, payloads: DataFrame, compare, limit: int, st
 # --- the join ----------------------------------------------------------------------------------------------
 
 
+def united(large: DataFrame) -> DataFrame:
+    """Groups (grp, vid, size), staged, that have much in common made one: a crowd is in many nodes of all trees, in another part each
+    time. Each group goes to that of its members that most groups have, and those of one member become one group, unless it
+    had more pairs than they have in all. Whoever shared a group still does; no vid is twice in a group."""
+    shared = stage(large.groupBy("vid").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1"), "crowd-shared")
+    if shared.isEmpty():
+        return large
+    heads = large.join(lookup(shared), "vid").groupBy("grp", "size").agg(F.max(F.struct("groups", "vid")).alias("most"))
+    heads = stage(heads.select("grp", F.col("most.vid").alias("head"), F.pow("size", F.lit(2)).alias("pairs")), "crowd-heads")
+    members = stage(large.join(lookup(heads.select("grp", "head")), "grp").select("head", "vid").distinct(), "crowd-members")
+    sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
+    before = heads.groupBy("head").agg(F.sum("pairs").alias("pairs"), F.count(F.lit(1)).alias("groups"))
+    sizes = stage(sizes.join(before.where("groups > 1"), "head").where(F.pow("size", F.lit(2)) <= F.col("pairs")).select("head", "size"), "crowd-sizes")
+    done = stage(heads.join(lookup(sizes), "head", "left_semi").select("grp"), "crowd-done")
+    one = members.join(lookup(sizes), "head").select(F.col("head").alias("grp"), "vid", "size")
+    return large.join(lookup(done), "grp", "left_anti").select("grp", "vid", "size").unionByName(one)
+
+
 def tree_groups(classes: DataFrame, trees: int, picks: int, leaf: int, depth: int) -> DataFrame:
     """Chosen-path trees over classes (vid, sketch, high): (grp, vid, size) of the nodes where the trees end.
 
-    A close pair is together in many nodes of many trees: of the nodes with the same members (at most ``leaf``) one stays.
+    A close pair is together in many nodes of many trees: of the nodes with the same members (at most ``leaf``) one stays, and
+    larger ones are united.
     """
     tokens = classes.select("vid", "sketch", "high")
     rows = stage(tokens.mapInArrow(_roots(trees, picks), "node long, vid long"), "tree-roots").withColumn("above", F.lit(1 << 62))
@@ -515,8 +536,9 @@ def tree_groups(classes: DataFrame, trees: int, picks: int, leaf: int, depth: in
         rows = stage(deeper.mapInArrow(_branch(picks), "node long, vid long, above long"), "tree-level")
     whole = F.size("members") == F.col("size")
     once = ended.where(whole).groupBy("members").agg(F.min("node").alias("grp")).select("grp", F.size("members").cast("long").alias("size"), "members")
-    parts = ended.where(~whole).select(F.col("node").alias("grp"), "size", "members")
-    return stage(once.unionByName(parts).select("grp", F.explode("members").alias("vid"), "size"), "tree-leaves")
+    parts = ended.where(~whole).select(F.col("node").alias("grp"), F.explode("members").alias("vid"), "size")
+    once = once.select("grp", F.explode("members").alias("vid"), "size")
+    return stage(once.unionByName(united(stage(parts, "tree-large"))), "tree-leaves")
 
 
 def candidate_groups(classes: DataFrame, least: int, trees: int, picks: int, leaf: int, depth: int) -> DataFrame:

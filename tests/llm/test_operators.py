@@ -154,6 +154,24 @@ def test_nodes_against_a_plain_count(spark):
     assert neardup.nodes_of(given.limit(0), 4).count() == 0
 
 
+def test_groups_that_share_members_are_united(spark):
+    """Thirty parts of a crowd, two large groups that share one member, and one that shares none: no pair is lost, and the crowd
+    is no longer compared part by part."""
+    r = random.Random(4)
+    groups = {g: set(r.sample(range(60), 25)) for g in range(30)} | {30: set(range(100, 150)), 31: set(range(149, 199)), 32: set(range(300, 320))}
+    rows = [(g, v, len(m)) for g, m in groups.items() for v in m]
+    found, sizes = {}, {}
+    for x in neardup.united(stage(spark.createDataFrame(rows, "grp long, vid long, size long"), "large")).collect():
+        assert x.vid not in found.setdefault(x.grp, set())
+        found[x.grp].add(x.vid)
+        sizes[x.grp] = x.size
+    pairs = lambda sets: {p for m in sets for p in combinations(sorted(m), 2)}
+    assert pairs(found.values()) >= pairs(groups.values()) and {g: len(m) for g, m in found.items()} == sizes
+    assert all(found[g] == groups[g] for g in (30, 31, 32))
+    assert sum(n for g, n in sizes.items() if g not in (30, 31, 32)) <= 300
+    assert neardup.united(stage(spark.createDataFrame(rows, "grp long, vid long, size long").limit(0), "large")).count() == 0
+
+
 def test_shuffle_is_no_other_where_no_join_is_broadcast(spark, monkeypatch):
     """Lookup sides outgrow a broadcast as tables grow. Then the rows of the trees may not be shuffled again, nor be compared in
     every tree that brings the same ones together."""
